@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, gam, packing, risk
+from . import curriculum, gam, minhash, packing, risk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op5_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(docs, gam.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_harmonic_packing, op5_gam_quality, op8_curriculum_mix, op10_risk_rules)}
+QUERIES = {f.__name__: f for f in (op3_harmonic_packing, op5_gam_quality, op6_minhash_near_dedup, op8_curriculum_mix, op10_risk_rules)}
 ORACLE_SQL = {"op3_harmonic_packing": packing.ORACLE_SQL, "op8_curriculum_mix": curriculum.ORACLE_SQL, "op10_risk_rules": risk.ORACLE_SQL}
