@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, gam, minhash, packing, risk
+from . import curriculum, gam, licenses, minhash, packing, risk
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_harmonic_packing, op5_gam_quality, op6_minhash_near_dedup, op8_curriculum_mix, op10_risk_rules)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_harmonic_packing, op5_gam_quality, op6_minhash_near_dedup, op8_curriculum_mix, op10_risk_rules)}
 ORACLE_SQL = {"op3_harmonic_packing": packing.ORACLE_SQL, "op8_curriculum_mix": curriculum.ORACLE_SQL, "op10_risk_rules": risk.ORACLE_SQL}
