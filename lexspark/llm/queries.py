@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curriculum, gam, licenses, minhash, packing, risk
+from . import curriculum, gam, licenses, minhash, packing, pii, risk
 from .common import table
 
 
@@ -29,9 +29,13 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.demo_key())
+
+
 def op10_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_harmonic_packing, op5_gam_quality, op6_minhash_near_dedup, op8_curriculum_mix, op10_risk_rules)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_harmonic_packing, op5_gam_quality, op6_minhash_near_dedup, op8_curriculum_mix, op9_pii_surrogates, op10_risk_rules)}
 ORACLE_SQL = {"op3_harmonic_packing": packing.ORACLE_SQL, "op8_curriculum_mix": curriculum.ORACLE_SQL, "op10_risk_rules": risk.ORACLE_SQL}
