@@ -2,5 +2,486 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import crf, lexicon, parse, perceptron, segment, tag, tokenizer
+from ..options import Options
+from ..pipeline import Models, Pipeline
+from ..sources import formats
+from ..streaming import tokens as stream
+from . import fixtures as X
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Least count of a word in lexicons that are broadcast.
+LEAST_COUNT = 2
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+def _sql_values(rows, name: str) -> str:
+    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) {name}"
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_marks = ", ".join("'" + c.replace("'", "''") + "'" for c in T.MARKS)
+TYPE_SQL = rf"""(CASE WHEN unicode(token) IN (10, 13) THEN 3 WHEN unicode(token) IN (9, 32) THEN 1 WHEN regexp_full_match(token, '{T.NUMBER_RE}') THEN 5
+  WHEN regexp_full_match(token, '(?:ＷＸ|[A-Za-zＡ-ＶＹＺａ-ｚ])+') THEN 6 WHEN length(token) > 1 THEN 8 WHEN token IN ('。', '！', '？') THEN 4
+  WHEN token IN ({_marks}) THEN 7 WHEN unicode(token) BETWEEN 19968 AND 40869 THEN 2 ELSE 9 END)::INT"""
+
+
+def _sql_tokens(source: str, keys: str) -> str:
+    """CTE bodies ``tk`` (keys, pos, token, type) and ``st`` (with sent_id, idx)."""
+    return f"""tl AS (SELECT {keys}, regexp_extract_all(coalesce(text, ''), '{T.TOKEN_RE}') AS t FROM {source}),
+tu AS (SELECT {keys}, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM tl),
+tk AS (SELECT *, {TYPE_SQL} AS type FROM tu),
+sa AS (SELECT *, coalesce(sum((type IN (3, 4))::INT) OVER (PARTITION BY {keys} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ns FROM tk),
+sb AS (SELECT *, (row_number() OVER (PARTITION BY {keys}, ns ORDER BY pos) - 1) // {T.SENTENCE_TOKENS} AS chunk FROM sa),
+st AS (SELECT *, dense_rank() OVER (PARTITION BY {keys} ORDER BY ns, chunk) - 1 AS sent_id, row_number() OVER (PARTITION BY {keys}, ns, chunk ORDER BY pos) - 1 AS idx FROM sb)"""
+
+
+DOC_TOKENS = _sql_tokens("documents", "doc_id")
+CHAT_TOKENS = _sql_tokens("conversations", "conv_id, turn")
+CHAT = ("conv_id", "turn")
+
+# --- tokens and sentences
+
+
+@query(f"WITH {DOC_TOKENS} SELECT doc_id, pos::INT AS pos, token, type FROM tk")
+def tokens(spark, sf):
+    return tokenizer.tokens(table(spark, sf, "documents"))
+
+
+@query(f"WITH {DOC_TOKENS} SELECT type, count(*)::BIGINT AS n FROM tk GROUP BY type")
+def token_type_hist(spark, sf):
+    return tokenizer.type_counts(table(spark, sf, "documents"), ())
+
+
+@query(f"WITH {_sql_tokens('documents', 'doc_id, lang')} SELECT lang, type, count(*)::BIGINT AS n FROM tk GROUP BY lang, type")
+def tokens_by_lang(spark, sf):
+    return tokenizer.type_counts(table(spark, sf, "documents"))
+
+
+@query(f"WITH {DOC_TOKENS} SELECT doc_id, sent_id::INT AS sent_id, count(*)::INT AS n_tokens, string_agg(token, '' ORDER BY pos) AS sentence FROM st GROUP BY doc_id, sent_id")
+def sentences(spark, sf):
+    rows = tokenizer.sentences(table(spark, sf, "documents"))
+    return rows.select("doc_id", "sent_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens.token", "").alias("sentence"))
+
+
+@query(f"WITH {DOC_TOKENS}, g AS (SELECT doc_id, sent_id, count(*) AS n FROM st GROUP BY doc_id, sent_id) SELECT n::INT AS n_tokens, count(*)::BIGINT AS n_sentences, count(DISTINCT doc_id)::BIGINT AS n_docs FROM g GROUP BY n")
+def sentence_lengths(spark, sf):
+    rows = tokenizer.sentences(table(spark, sf, "documents")).select("doc_id", F.size("tokens").alias("n_tokens"))
+    return rows.groupBy("n_tokens").agg(F.count("*").alias("n_sentences"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+_WORD_TYPE_SQL = "(CASE type " + " ".join(f"WHEN {a} THEN {b}" for a, b in T.WORD_TYPE.items()) + " END)::INT"
+_CODE_SQL = "(CASE " + _WORD_TYPE_SQL + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(T.TYPE_CODES)) + " END)"
+
+
+@query(f"WITH {CHAT_TOKENS} SELECT {_WORD_TYPE_SQL} AS word_type, {_CODE_SQL} AS code, count(*)::BIGINT AS n, count(DISTINCT token)::BIGINT AS n_words FROM tk GROUP BY ALL")
+def word_types(spark, sf):
+    rows = tokenizer.tokens(table(spark, sf, "conversations"), CHAT).withColumn("word_type", T.word_type(F.col("type")))
+    return rows.groupBy("word_type").agg(F.count("*").alias("n"), F.countDistinct("token").alias("n_words")).select("word_type", T.type_code(F.col("word_type")).alias("code"), "n", "n_words")
+
+
+@query(rf"""WITH {CHAT_TOKENS}, w AS (SELECT conv_id, turn, string_agg(token || '_' || {_CODE_SQL} || '/none  ', '' ORDER BY pos) AS line FROM tk WHERE NOT regexp_matches(token, '^[\r\n ]') GROUP BY conv_id, turn)
+SELECT c.conv_id, c.turn, coalesce(line, '') AS line FROM conversations c LEFT JOIN w ON w.conv_id = c.conv_id AND w.turn = c.turn""")
+def slash_output(spark, sf):
+    kept = F.transform(T.typed_tokens(F.col("text")), lambda t: F.struct(t["token"].alias("word"), T.word_type(t["type"]).alias("word_type"), F.lit("none").alias("tag")))
+    return table(spark, sf, "conversations").select(*CHAT, formats.slash_line(kept, True).alias("line"))
+
+
+@query(rf"""WITH {CHAT_TOKENS} SELECT conv_id, turn, sent_id::INT AS sent_id, string_agg((idx + 1) || chr(9) || token || chr(9) || 'none' || chr(9) || '0' || chr(9) || 'none', chr(10) ORDER BY idx)
+  AS block FROM st WHERE NOT regexp_matches(token, '^[\r\n ]') GROUP BY conv_id, turn, sent_id""")
+def conll_output(spark, sf):
+    rows = tokenizer.sentences(table(spark, sf, "conversations"), CHAT)
+    words = F.transform("tokens", lambda t, i: F.struct((i + 1).alias("idx"), t["token"].alias("word"), F.lit("none").alias("tag"), F.lit(0).alias("head"), F.lit("none").alias("label")))
+    return rows.select(*CHAT, "sent_id", formats.conll_block(words).alias("block")).filter("block <> ''")
+
+
+@query(f"""WITH {_sql_tokens('documents', 'doc_id, lang')} SELECT doc_id, lang, type, count(*)::BIGINT AS n FROM tk GROUP BY doc_id, lang, type""")
+def stream_tokens(spark, sf):
+    return stream.drain(stream.token_types(stream.read_table(spark, sf, "documents")), "stream-tokens")
+
+
+# --- lexicons
+
+_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')"
+_UNIGRAM_SQL = f"""uw AS (SELECT unnest({_WORDS_SQL}) AS word FROM documents), uc AS (SELECT word, count(*) AS n FROM uw GROUP BY word),
+um AS (SELECT word, n, row_number() OVER (ORDER BY encode(word)) AS term_id, 0.0::DOUBLE - ln(n::DOUBLE / (sum(n) OVER ())::DOUBLE) AS cost FROM uc)"""
+
+
+def _unigrams(spark, sf, least: int = 1) -> DataFrame:
+    counts = lexicon.word_counts(table(spark, sf, "documents"))
+    return lexicon.unigram_model(counts.filter(F.col("count") >= least) if least > 1 else counts)
+
+
+@query(f"WITH {_UNIGRAM_SQL} SELECT word, term_id::BIGINT AS term_id, round(cost, 9) AS cost FROM um")
+def unigram_model(spark, sf):
+    return _unigrams(spark, sf).withColumn("cost", F.round("cost", 9))
+
+
+_FREQUENT_SQL = f"""uw AS (SELECT unnest({_WORDS_SQL}) AS word FROM documents), uc AS (SELECT word, count(*) AS n FROM uw GROUP BY word HAVING count(*) >= {LEAST_COUNT}),
+um AS (SELECT word, row_number() OVER (ORDER BY encode(word)) AS term_id, 0.0::DOUBLE - ln(n::DOUBLE / (sum(n) OVER ())::DOUBLE) AS cost FROM uc)"""
+
+
+@query(f"""WITH {_FREQUENT_SQL}, l AS (SELECT {_WORDS_SQL} AS w FROM documents), p AS (SELECT unnest(w[:-2]) AS l, unnest(w[2:]) AS r FROM l WHERE len(w) > 1),
+c AS (SELECT l, r, count(*) AS n FROM p GROUP BY l, r), t AS (SELECT sum(n)::DOUBLE AS total FROM c)
+SELECT a.term_id::BIGINT AS left_id, b.term_id::BIGINT AS right_id, round(0.0::DOUBLE - ln(n::DOUBLE / total), 9) AS cost FROM c JOIN um a ON a.word = l JOIN um b ON b.word = r, t""")
+def bigram_model(spark, sf):
+    return lexicon.bigram_model(lexicon.pair_counts(table(spark, sf, "documents")), _unigrams(spark, sf, LEAST_COUNT)).withColumn("cost", F.round("cost", 9))
+
+
+def _lines(spark, text: str) -> DataFrame:
+    return values(spark, enumerate(text.split("\n")), "line_no int, value string")
+
+
+_USER_SQL = rf"""ul AS (SELECT generate_subscripts(x, 1) - 1 AS line_no, trim(unnest(x)) AS line FROM (SELECT string_split({_sql_text(X.USER_DICTIONARY)}, chr(10)) AS x)),
+up AS (SELECT line_no, split_part(line, ' ', 1) AS word, coalesce(nullif(split_part(line, ' ', 2), '')::DOUBLE, 6.0) AS cost FROM ul WHERE line <> ''),
+ud AS (SELECT word, arg_max(cost, line_no) AS cost, row_number() OVER (ORDER BY max(line_no)) - 1 + {lexicon.USER_ID_START} AS term_id FROM up GROUP BY word)"""
+
+
+@query(f"WITH {_USER_SQL} SELECT word, term_id::BIGINT AS term_id, cost FROM ud")
+def user_dict_parse(spark, sf):
+    return lexicon.user_dictionary(_lines(spark, X.USER_DICTIONARY))
+
+
+@query(f"""WITH {_UNIGRAM_SQL}, {_USER_SQL} SELECT coalesce(um.word, ud.word) AS word, coalesce(um.term_id, ud.term_id)::BIGINT AS term_id,
+  round(CASE WHEN ud.word IS NOT NULL AND (um.word IS NULL OR ud.cost <> 6.0) THEN ud.cost ELSE um.cost END, 9) AS cost FROM um FULL JOIN ud ON ud.word = um.word""")
+def user_cost_resolution(spark, sf):
+    return lexicon.resolve(_unigrams(spark, sf), lexicon.user_dictionary(_lines(spark, X.USER_DICTIONARY))).withColumn("cost", F.round("cost", 9))
+
+
+_GRAMS = [" || ".join(["token", *[f"lead(token, {i}) OVER s" for i in range(1, n)]]) for n in range(1, 9)]
+
+
+@query(f"""WITH {CHAT_TOKENS}, {_UNIGRAM_SQL}, g AS (SELECT conv_id, turn, sent_id, idx, [{', '.join(_GRAMS)}] AS w FROM st WINDOW s AS (PARTITION BY conv_id, turn, sent_id ORDER BY idx)),
+e AS (SELECT conv_id, turn, sent_id, idx, generate_subscripts(w, 1) AS n_tokens, unnest(w) AS word FROM g)
+SELECT conv_id, turn, sent_id::INT AS sent_id, idx::INT AS start, n_tokens::INT AS n_tokens, e.word, um.term_id::BIGINT AS term_id FROM e JOIN um ON um.word = e.word""")
+def dictionary_match(spark, sf):
+    return lexicon.matches(tokenizer.sentences(table(spark, sf, "conversations"), CHAT), _unigrams(spark, sf), (*CHAT, "sent_id"))
+
+
+@query(f"WITH {DOC_TOKENS}, {_FREQUENT_SQL} SELECT token, count(*)::BIGINT AS n FROM tk WHERE type NOT IN (1, 3) AND NOT EXISTS (SELECT 1 FROM um WHERE um.word = tk.token) GROUP BY token")
+def oov_tokens(spark, sf):
+    words = lexicon.word_counts(table(spark, sf, "documents")).filter(F.col("count") >= LEAST_COUNT)
+    return lexicon.unknown_tokens(tokenizer.tokens(table(spark, sf, "documents")), words)
+
+
+@query(f"""WITH {_UNIGRAM_SQL} SELECT prefix, count(um.word)::BIGINT AS n_words, coalesce(bool_or(um.word = prefix), false) AS is_word
+FROM {_sql_values([(p,) for p in X.PREFIXES], 'p(prefix)')} LEFT JOIN um ON starts_with(um.word, prefix) GROUP BY prefix""")
+def prefix_search(spark, sf):
+    return lexicon.prefixes(lexicon.word_counts(table(spark, sf, "documents")), values(spark, [(p,) for p in X.PREFIXES], "prefix string"))
+
+
+# --- segmentation
+
+
+def _segment_crf() -> crf.Crf:
+    return crf.Crf.build(list(X.SEGMENT_CRF), list(X.SEGMENT_TEMPLATES))
+
+
+def _lexicon(spark, sf, bigrams: bool) -> lexicon.Lexicon:
+    one = _unigrams(spark, sf, LEAST_COUNT)
+    pairs = lexicon.bigram_model(lexicon.pair_counts(table(spark, sf, "documents")).filter(F.col("count") >= LEAST_COUNT), one) if bigrams else None
+    return lexicon.Lexicon.load(one, lexicon.user_dictionary(_lines(spark, X.USER_DICTIONARY)), pairs)
+
+
+def _segmented(spark, sf, method: str, source: str = "documents", keys: tuple = ("doc_id",)) -> DataFrame:
+    lex = _lexicon(spark, sf, method != "unigram") if method != "crf" else None
+    return segment.segment(tokenizer.sentences(table(spark, sf, source), keys), method, lex, _segment_crf(), dict(X.OOV_PROPERTIES))
+
+
+def segment_query(method: str, spark, sf):
+    return segment.exploded(_segmented(spark, sf, method))
+
+
+for _method in ("unigram", "bigram", "crf", "mixed"):
+    QUERIES[f"segment_{_method}"] = partial(segment_query, _method)
+
+_OOV = f"{_sql_values(X.OOV_WORDS, 'w(sent_id, idx, word, n_tokens, word_type)')} LEFT JOIN {_sql_values(X.OOV_PROPERTIES, 'p(word, property)')} ON p.word = w.word"
+_FLAGS_SQL = f"""op AS (SELECT sent_id, idx, w.word, CASE WHEN n_tokens = 1 AND word_type = 0 THEN coalesce(property, -1) END AS p FROM {_OOV}),
+fl AS (SELECT sent_id, idx, word, (CASE WHEN p = 3 THEN 2 WHEN p IN (-1, 1, 2) THEN 1 WHEN lag(p) OVER s = 1 OR lead(p) OVER s = 2 THEN 1 ELSE 0 END)::INT AS flag FROM op WINDOW s AS (PARTITION BY sent_id ORDER BY idx))"""
+
+
+def _flags(spark) -> DataFrame:
+    words = values(spark, X.OOV_WORDS, "sent_id int, idx int, word string, n_tokens int, word_type int")
+    return segment.oov_flags(words, values(spark, X.OOV_PROPERTIES, "word string, property int"), ("sent_id",))
+
+
+@query(f"WITH {_FLAGS_SQL} SELECT sent_id::INT AS sent_id, idx::INT AS idx, word, flag FROM fl")
+def oov_flags(spark, sf):
+    return _flags(spark)
+
+
+@query(f"""WITH {_FLAGS_SQL}, i AS (SELECT *, idx - row_number() OVER (PARTITION BY sent_id ORDER BY idx) AS g FROM fl WHERE flag = 1)
+SELECT sent_id::INT AS sent_id, min(idx)::INT AS first_idx, count(*)::BIGINT AS n_words, string_agg(word, '' ORDER BY idx) AS run FROM i GROUP BY sent_id, g""")
+def oov_runs(spark, sf):
+    return segment.oov_runs(_flags(spark), ("sent_id",))
+
+
+# --- sequence models
+
+_before = lambda n: f"coalesce(lag(token, {n}) OVER s, CASE WHEN idx - {n} = -1 THEN '_x+1' ELSE '_x-2' END)"
+_behind = lambda n: f"coalesce(lead(token, {n}) OVER s, CASE WHEN idx + {n} = c THEN '_x-1' ELSE '_x+2' END)"
+_FEATURES_SQL = f"""{CHAT_TOKENS}, sc AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, sent_id) AS c FROM st),
+fa AS (SELECT conv_id, turn, sent_id, idx, ['u00:' || token, 'u01:' || {_before(1)} || '/' || token, 'u02:' || {_behind(2)}, 'u03:' || {_before(2)}] AS f FROM sc
+       WINDOW s AS (PARTITION BY conv_id, turn, sent_id ORDER BY idx)),
+fe AS (SELECT conv_id, turn, sent_id, idx, generate_subscripts(f, 1) - 1 AS template, unnest(f) AS feature FROM fa)"""
+
+
+def _chat_features(spark, sf) -> DataFrame:
+    rows = tokenizer.sentences(table(spark, sf, "conversations"), CHAT).withColumn("places", F.transform("tokens.token", lambda t: F.array(t)))
+    return crf.features(rows, "places", X.LISTED_TEMPLATES, (*CHAT, "sent_id"))
+
+
+@query(f"WITH {_FEATURES_SQL} SELECT conv_id, turn, sent_id::INT AS sent_id, idx::INT AS idx, template::INT AS template, feature FROM fe")
+def crf_features(spark, sf):
+    return _chat_features(spark, sf)
+
+
+_WEIGHTS = (("u00:the", "DT", 1.5), ("u00:the", "NN", -1.0), ("u00:,", "PU", 2.0), ("u02:the", "NN", 0.25), ("u01: /de", "DT", 0.75), ("u03:_x-2", "DT", 0.5), ("u03:_x+1", "NN", 0.125), ("u02:_x-1", "PU", 0.375))
+
+
+@query(f"""WITH {_FEATURES_SQL} SELECT conv_id, turn, sent_id::INT AS sent_id, idx::INT AS idx, tag, round(sum(weight), 9) AS score
+FROM fe JOIN {_sql_values(_WEIGHTS, 'w(feature, tag, weight)')} ON w.feature = fe.feature GROUP BY ALL""")
+def crf_unigram_scores(spark, sf):
+    weights = values(spark, _WEIGHTS, "feature string, tag string, weight double")
+    return crf.unigram_scores(_chat_features(spark, sf), weights, (*CHAT, "sent_id")).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {CHAT_TOKENS}, w AS (SELECT token, {_WORD_TYPE_SQL} AS k, count(*) AS n FROM tk GROUP BY ALL)
+SELECT token AS word, k AS word_type, n::BIGINT AS n, CASE WHEN k = 0 THEN token WHEN k IN (1, 3) THEN 'A' WHEN k = 2 THEN '1' ELSE '.' END AS f0, CASE WHEN k = 0 THEN left(token, 1) WHEN k IN (1, 3) THEN 'A' WHEN k = 2 THEN '1' ELSE '.' END AS f1,
+  CASE WHEN k = 0 THEN right(token, 1) WHEN k IN (1, 3) THEN 'A' WHEN k = 2 THEN '1' ELSE '.' END AS f2, CASE WHEN k = 0 THEN (strlen(token) // 3)::VARCHAR ELSE '1' END AS f3 FROM w""")
+def word_surface_features(spark, sf):
+    rows = tokenizer.tokens(table(spark, sf, "conversations"), CHAT).groupBy(F.col("token").alias("word"), T.word_type(F.col("type")).alias("word_type")).agg(F.count("*").alias("n"))
+    f = T.surface_features(F.col("word"), F.col("word_type"))
+    return rows.select("word", "word_type", "n", *[F.get(f, F.lit(i)).alias(f"f{i}") for i in range(4)])
+
+
+# --- tagging: a corpus whose tags are told by token types and neighbours
+
+_WEAK_SQL = f"""{DOC_TOKENS}, wd AS (SELECT doc_id, sent_id, idx, token AS word, type, lead(type) OVER (PARTITION BY doc_id, sent_id ORDER BY idx) AS nxt FROM st WHERE type NOT IN (1, 3)),
+wk AS (SELECT doc_id, sent_id, idx, word, CASE WHEN type = 5 THEN 'CD' WHEN type = 8 THEN 'SYM' WHEN type = 2 THEN 'NN' WHEN type <> 6 THEN 'PU' WHEN nxt IN (4, 7) THEN 'NR' WHEN length(word) <= 3 THEN 'DT' ELSE 'NN' END AS tag FROM wd)"""
+
+
+def weak_corpus(docs: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
+    """``keys, sent_id, words, tags, places`` of each sentence: words without white space, and tags by type and neighbour."""
+    seen = tokenizer.sentences(docs, keys).withColumn("w", F.filter("tokens", lambda t: ~t["type"].isin(T.SPACE, T.CRLF)))
+    following = lambda i: F.get(F.col("w.type"), i + 1)
+
+    def told(t, i):
+        kind = t["type"]
+        return (
+            F.when(kind == T.NUMBER, "CD").when(kind == T.SYMBOL, "SYM").when(kind == T.CJK, "NN").when(kind != T.ENGLISH, "PU")
+            .when(following(i).isin(T.PERIOD, T.PUNCTUATION), "NR").when(F.length(t["token"]) <= 3, "DT").otherwise("NN")
+        )
+
+    places = F.transform("w", lambda t: T.surface_features(t["token"], T.word_type(t["type"])))
+    return seen.select(*keys, "sent_id", F.col("w.token").alias("words"), F.transform("w", told).alias("tags"), places.alias("places"))
+
+
+def _weak_rows(spark, sf) -> DataFrame:
+    pairs = weak_corpus(table(spark, sf, "documents")).select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("tags").alias("tag"))).alias("p"))
+    return pairs.select("p.word", "p.tag")
+
+
+_EMISSION_SQL = f"{_WEAK_SQL}, em AS (SELECT word, tag, count(*) AS n, sum(count(*)) OVER (PARTITION BY word) AS total FROM wk GROUP BY word, tag)"
+
+
+@query(f"WITH {_EMISSION_SQL} SELECT word, tag, round(0.0::DOUBLE - ln(n::DOUBLE / total::DOUBLE), 9) AS cost, total::BIGINT AS total_count FROM em")
+def hmm_emission(spark, sf):
+    return tag.emissions(_weak_rows(spark, sf)).withColumn("cost", F.round("cost", 9))
+
+
+@query(f"""WITH {_WEAK_SQL}, s AS (SELECT doc_id, sent_id, list(tag ORDER BY idx) AS t FROM wk GROUP BY doc_id, sent_id), p AS (SELECT unnest(['-BOS-'] || t) AS l, unnest(t || ['-BOS-']) AS r FROM s),
+c AS (SELECT l, r, count(*) AS n FROM p GROUP BY l, r), o AS (SELECT l, sum(n) AS n FROM c GROUP BY l), y AS (SELECT count(*) AS y FROM o)
+SELECT a.l AS "left", b.l AS "right", round(0.0::DOUBLE - ln((coalesce(c.n, 0) + 1)::DOUBLE / (y + a.n)::DOUBLE), 9) AS cost FROM o a CROSS JOIN o b CROSS JOIN y LEFT JOIN c ON c.l = a.l AND c.r = b.l""")
+def hmm_transition(spark, sf):
+    return tag.transitions_of(weak_corpus(table(spark, sf, "documents"))).withColumn("cost", F.round("cost", 9))
+
+
+@query(f"""WITH {_EMISSION_SQL}, b AS (SELECT word, tag, row_number() OVER (PARTITION BY word ORDER BY n DESC, tag) AS r FROM em),
+j AS (SELECT em.tag AS gold, em.n, b.tag AS predicted FROM em JOIN b ON b.word = em.word AND r = 1)
+SELECT gold, sum(CASE WHEN gold = predicted THEN n ELSE 0 END)::BIGINT AS correct, sum(n)::BIGINT AS total, round(sum(CASE WHEN gold = predicted THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE, 9) AS accuracy FROM j GROUP BY gold""")
+def tag_accuracy(spark, sf):
+    gold = _weak_rows(spark, sf)
+    best = tag.emissions(gold).groupBy("word").agg(F.min(F.struct("cost", "tag")).alias("m")).select("word", F.col("m.tag").alias("predicted"))
+    return tag.accuracy(gold.withColumnRenamed("tag", "gold").join(best, "word"), ("gold",))
+
+
+def _tag_models(spark, sf, method: str) -> tuple[tag.Hmm | None, crf.Crf | None]:
+    corpus = weak_corpus(table(spark, sf, "documents"))
+    hmm = tagger = None
+    if method in ("hmm", "mixed"):
+        words = corpus.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("tags").alias("tag"))).alias("p")).select("p.word", "p.tag")
+        hmm = tag.Hmm.load(tag.emissions(words), tag.transitions_of(corpus))
+    if method in ("crf", "mixed"):
+        tagger = crf.Crf.load(tag.crf_weights(corpus, X.TAG_TEMPLATES, ("doc_id",), "places", "tags"), list(X.TAG_TEMPLATES))
+    return hmm, tagger
+
+
+def _token_words(spark, sf, source: str, keys: tuple) -> DataFrame:
+    return tokenizer.sentences(table(spark, sf, source), keys).withColumn("words", segment.plain_words()).drop("tokens")
+
+
+def tag_query(method: str, spark, sf):
+    """Tags of the tokens of all chats by models of the documents."""
+    done = tag.tag(_token_words(spark, sf, "conversations", CHAT), method, *_tag_models(spark, sf, method))
+    rows = done.select(*CHAT, "sent_id", F.posexplode(F.arrays_zip(F.col("words.word").alias("word"), F.col("tags").alias("tag"))).alias("idx", "p"))
+    return rows.select(*CHAT, "sent_id", "idx", "p.word", "p.tag")
+
+
+for _method in ("hmm", "crf", "mixed"):
+    QUERIES[f"tag_{_method}"] = partial(tag_query, _method)
+
+# --- text formats
+
+_split = lambda text, sep: f"(SELECT generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT string_split({_sql_text(text)}, {sep}) AS x))"
+
+
+@query(f"WITH l AS {_split(X.COUNTS_DICTIONARY, 'chr(10)')} SELECT split_part(line, ' ', 1) AS key, arg_max(split_part(line, ' ', 2)::INT, line_no) AS value FROM l WHERE line <> '' GROUP BY 1")
+def dictionary_text(spark, sf):
+    return formats.dictionary(_lines(spark, X.COUNTS_DICTIONARY), order="line_no")
+
+
+@query(f"WITH l AS {_split(X.PERCEPTRON_TEXT, 'chr(10)')} SELECT split_part(line, ' ', 2) AS feature, split_part(line, ' ', 1) AS label, arg_max(split_part(line, ' ', 3)::DOUBLE, line_no) AS weight FROM l WHERE line <> '' GROUP BY 1, 2")
+def perceptron_text(spark, sf):
+    return formats.perceptron_text(_lines(spark, X.PERCEPTRON_TEXT))
+
+
+@query(f"""WITH l AS {_split(X.CRF_TEXT, 'chr(10)')} SELECT split_part(line, chr(9), 1) AS feature, CASE WHEN starts_with(line, 'b') THEN split_part(line, chr(9), 2) END AS "left", split_part(line, chr(9), 3) AS "right",
+  arg_max(split_part(line, chr(9), 4)::DOUBLE, line_no) AS weight FROM l WHERE line <> '' GROUP BY 1, 2, 3""")
+def crf_text(spark, sf):
+    return formats.crf_text(_lines(spark, X.CRF_TEXT))
+
+
+@query(f"""WITH l AS {_split(X.TAGGED_CORPUS, 'chr(10)')}, w AS (SELECT line_no, list_filter(string_split(line, ' '), lambda x: contains(x, '_')) AS x FROM l),
+i AS (SELECT line_no, generate_subscripts(x, 1) - 1 AS idx, unnest(x) AS item FROM w)
+SELECT line_no::INT AS line_no, idx::INT AS idx, regexp_extract(item, '^(.*)_([^_]*)$', 1) AS word, regexp_extract(item, '^(.*)_([^_]*)$', 2) AS tag FROM i""")
+def pos_corpus_rows(spark, sf):
+    return formats.tagged_corpus(_lines(spark, X.TAGGED_CORPUS))
+
+
+_TREE_SQL = f"""tb AS {_split(X.TREEBANK.strip(), 'chr(10) || chr(10)')}, tr AS (SELECT line_no AS sent, generate_subscripts(x, 1) AS idx, unnest(x) AS line FROM (SELECT line_no, string_split(line, chr(10)) AS x FROM tb)),
+tt AS (SELECT sent::INT AS sent, idx::INT AS idx, split_part(line, ' ', 1) AS word, split_part(line, ' ', 2) AS tag, split_part(line, ' ', 3)::INT AS head, split_part(line, ' ', 4) AS label FROM tr)"""
+
+
+def _treebank(spark) -> DataFrame:
+    return formats.treebank(values(spark, [(X.TREEBANK,)], "content string"), ())
+
+
+@query(f"WITH {_TREE_SQL} SELECT * FROM tt")
+def treebank_rows(spark, sf):
+    return _treebank(spark)
+
+
+# --- parsing
+
+
+@query(f"""WITH {_TREE_SQL}, k AS (SELECT tt.*, p.head AS h, p.label AS l FROM tt LEFT JOIN {_sql_values(X.PREDICTED, 'p(sent, idx, head, label)')} ON p.sent = tt.sent AND p.idx = tt.idx WHERE tag <> 'PU' AND NOT starts_with(tag, 'w'))
+SELECT count(*)::BIGINT AS total, round(avg(coalesce(head = h, false)::INT), 9) AS uas, round(avg(coalesce(head = h AND label = l, false)::INT), 9) AS las FROM k""")
+def attachment_scores(spark, sf):
+    gold = _treebank(spark).select("sent", "idx", "tag", F.col("head").alias("gold_head"), F.col("label").alias("gold_label"))
+    return parse.attachment_scores(gold.join(values(spark, X.PREDICTED, "sent int, idx int, head int, label string"), ["sent", "idx"], "left"))
+
+
+@query()
+def oracle_transitions(spark, sf):
+    return parse.oracle(formats.tree_rows(_treebank(spark)))
+
+
+@query()
+def parser_training(spark, sf):
+    return spark.createDataFrame(parse.train(formats.tree_rows(_treebank(spark))), "feature string, label string, weight double")
+
+
+def parse_query(method: str, spark, sf):
+    """Trees over the tagged tokens of all chats, by a parser of the small treebank."""
+    rows = parse.train(formats.tree_rows(_treebank(spark)))
+    tagged = tag.tag(_token_words(spark, sf, "conversations", CHAT), "hmm", *_tag_models(spark, sf, "hmm"))
+    done = parse.parse(tagged, method, perceptron.Perceptron({y for _, y, _ in rows}, rows))
+    zipped = F.arrays_zip(F.col("words.word").alias("word"), F.col("tags").alias("tag"), F.col("tree.heads").alias("head"), F.col("tree.labels").alias("label"))
+    return done.select(*CHAT, "sent_id", F.posexplode(zipped).alias("i", "w")).select(*CHAT, "sent_id", (F.col("i") + 1).alias("idx"), "w.*")
+
+
+for _method in ("greedy", "beam"):
+    QUERIES[f"parse_{_method}"] = partial(parse_query, _method)
+
+_SAMPLES_SQL = f"{CHAT_TOKENS}, fs AS (SELECT conv_id, turn, pos, unnest(['w=' || lower(token), 't=' || type, 'len=' || length(token)]) AS feature FROM tk)"
+
+
+@query(f"""WITH {_SAMPLES_SQL}, w AS (SELECT * FROM {_sql_values(X.CLASSIFIER, 'w(feature, label, weight)')}), y AS (SELECT DISTINCT label FROM w),
+s AS (SELECT conv_id, turn, pos, label, sum(weight) AS score FROM fs JOIN w ON w.feature = fs.feature GROUP BY ALL),
+a AS (SELECT DISTINCT conv_id, turn, pos, label FROM fs, y), r AS (SELECT a.*, coalesce(score, 0.0::DOUBLE) AS score FROM a LEFT JOIN s ON s.conv_id = a.conv_id AND s.turn = a.turn AND s.pos = a.pos AND s.label = a.label),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, pos ORDER BY score DESC, label) AS k FROM r)
+SELECT conv_id, turn, pos::INT AS pos, label, score FROM b WHERE k = 1""")
+def perceptron_classify(spark, sf):
+    rows = tokenizer.tokens(table(spark, sf, "conversations"), CHAT)
+    f = F.array(F.concat(F.lit("w="), F.lower("token")), F.concat(F.lit("t="), F.col("type").cast("string")), F.concat(F.lit("len="), F.length("token").cast("string")))
+    weights = values(spark, X.CLASSIFIER, "feature string, label string, weight double")
+    return perceptron.classify(rows.select(*CHAT, "pos", F.explode(f).alias("feature")), weights, (*CHAT, "pos"))
+
+
+@query("""WITH u AS (SELECT unnest(['lang=' || lang, 'source=' || source, 'both=' || lang || source]) AS feature, d.doc_id AS tm, quality, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+v AS (SELECT feature, 'good' AS label, tm, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS value FROM u UNION ALL SELECT feature, 'toxic', tm, CASE WHEN toxic = 1 THEN 1 ELSE -1 END FROM u)
+SELECT feature, label, round(sum(value)::DOUBLE - sum(value * tm)::DOUBLE / 1000000.0::DOUBLE, 9) AS weight FROM v GROUP BY feature, label""")
+def perceptron_average(spark, sf):
+    """Updates by label of the labelled documents' languages and sources, their ids as times."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source").join(table(spark, sf, "labels"), "doc_id")
+    names = F.array(F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"), F.concat(F.lit("both="), "lang", "source"))
+    sign = lambda c: F.when(F.col(c) == 1, 1).otherwise(-1)
+    both = F.array(F.struct(F.lit("good").alias("label"), sign("quality").alias("value")), F.struct(F.lit("toxic").alias("label"), sign("toxic").alias("value")))
+    updates = rows.select(F.col("doc_id").alias("at"), F.explode(names).alias("feature"), both.alias("b")).select("at", "feature", F.explode("b").alias("u")).select("at", "feature", "u.label", "u.value")
+    return perceptron.average(updates, 1_000_000).withColumn("weight", F.round("weight", 9))
+
+
+# --- encodings and the whole pipeline
+
+
+@query(f"SELECT word, hex FROM {_sql_values(X.GBK_WORDS, 'g(word, hex)')}")
+def gbk_words(spark, sf):
+    return values(spark, [(w,) for w, _ in X.GBK_WORDS], "word string").select("word", F.hex(T.to_gbk(F.col("word"))).alias("hex"))
+
+
+@query()
+def gbk_roundtrip(spark, sf):
+    """Documents through GBK and back: bytes, and whether nothing was lost."""
+    data = table(spark, sf, "documents").select("doc_id", "text", T.to_gbk(F.col("text")).alias("gbk"))
+    return data.select("doc_id", F.octet_length("gbk").alias("n_bytes"), (T.from_gbk(F.col("gbk")) == F.col("text")).alias("same"))
+
+
+@query()
+def pipeline_words(spark, sf):
+    """Mixed segmentation, mixed tags and greedy trees of all chats."""
+    hmm, tagger = _tag_models(spark, sf, "mixed")
+    rows = parse.train(formats.tree_rows(_treebank(spark)))
+    models = Models(_lexicon(spark, sf, True), _segment_crf(), dict(X.OOV_PROPERTIES), hmm, tagger, perceptron.Perceptron({y for _, y, _ in rows}, rows))
+    return Pipeline(Options(parser="greedy"), models).transform(table(spark, sf, "conversations"), CHAT)
