@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import crf, lexicon, parse, perceptron, segment, tag, tokenizer
 from ..options import Options
 from ..pipeline import Models, Pipeline
+from ..scratch import spread
 from ..sources import formats
 from ..streaming import tokens as stream
 from . import fixtures as X
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def values(spark: SparkSession, rows, schema: str) -> DataFrame:

@@ -50,3 +50,9 @@ def ship(spark: SparkSession, model: object):
     """Broadcast a model once; the result, called in a task, gives it.  Executors need no copy of the library."""
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(model))
     return lambda: cloudpickle.loads(shared.value)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer partitions, as a table of one small file does; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
