@@ -103,8 +103,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents with all their columns, in training order; a document of several copies is several rows."""
-    placed = assign(docs, keep=tuple(docs.columns), **how)
-    return placed.orderBy("position", "doc_id", "copy").select(docs.columns)
+    whole = docs.select("doc_id", "source", "text", F.struct("*").alias("__row"))  # names of other columns can't clash
+    return assign(whole, keep=("doc_id", "__row"), **how).orderBy("position", "doc_id", "copy").select("__row.*")
 
 
 def _sql() -> str:

@@ -246,4 +246,5 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     The ids that go are broadcast if a count shows them to be few enough, so texts needn't be shuffled.
     """
     gone = materialize(near_duplicates(docs, threshold).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(small_side(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    out = small_side(gone)
+    return docs.join(out, docs["doc_id"] == out["__gone"], "left_anti")

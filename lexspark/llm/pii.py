@@ -286,10 +286,10 @@ def pseudonymise(docs: DataFrame, key: bytes, columns: tuple = ("doc_id",), draw
 
 def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates; ``n_chars`` counts the new text, other columns and their order stay."""
-    done = pseudonymise(docs, key, tuple(docs.columns)).drop("n_entities")
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+    place = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}  # no column can clash with n_entities
+    done = pseudonymise(docs.toDF(*place.values()), key, tuple(place.values()))
+    known = {c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(at) for c, at in place.items()}
+    return done.select(*[column.alias(c) for c, column in known.items()])
 
 
 def demo_key() -> bytes:

@@ -106,7 +106,7 @@ def _level_of(docs: DataFrame, cuts: DataFrame, stratum: Column) -> tuple[DataFr
         found = F.coalesce(F.create_map(*pairs)[stratum], F.lit(0)) if pairs else F.lit(0)
         return docs, found
     named = cuts.select(F.col("stratum").alias("__stratum"), F.col("level").alias("__level"))
-    return docs.join(named, stratum == F.col("__stratum"), "left"), F.coalesce(F.col("__level"), F.lit(0))
+    return docs.join(named, stratum == named["__stratum"], "left"), F.coalesce(named["__level"], F.lit(0))
 
 
 def decide(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.1) -> DataFrame:
@@ -126,7 +126,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", al
     cuts = certify(docs, labels, stratum, alpha, delta)
     known = {k: c for k, c in measures(F.col("text")).items() if k in RULES}
     rows, level = _level_of(docs, cuts, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    return rows.filter(_rejections(known, _blank(F.col("text"))) > level).select(docs.columns)
+    return rows.filter(_rejections(known, _blank(F.col("text"))) > level).select(*[docs[c] for c in docs.columns])
 
 
 def _sql() -> str:
