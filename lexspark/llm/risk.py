@@ -126,7 +126,9 @@ def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", al
     cuts = certify(docs, labels, stratum, alpha, delta)
     known = {k: c for k, c in measures(F.col("text")).items() if k in RULES}
     rows, level = _level_of(docs, cuts, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    return rows.filter(_rejections(known, _blank(F.col("text"))) > level).select(*[docs[c] for c in docs.columns])
+    # as a variable of a function each measure is computed once, however often the levels name it
+    once = F.transform(F.array(F.struct(*[c.alias(k) for k, c in known.items()], _blank(F.col("text")).alias("blank"))), lambda m: _rejections({k: m[k] for k in RULES}, m["blank"]))
+    return rows.filter(F.get(once, F.lit(0)) > level).select(*[docs[c] for c in docs.columns])
 
 
 def _sql() -> str:
