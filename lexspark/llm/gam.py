@@ -9,11 +9,12 @@ look-ups, done for a whole Arrow batch at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,10 +157,14 @@ def classify(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
     Null and empty texts are scored as texts of length 0.  Repeated rows are scored each, extra columns ignored.
     Only the measures reach Python, texts don't.
     """
-    @F.pandas_udf("double")
-    def score(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.score(x.to_numpy(float)))
-
     known = measures(F.col("text"))
-    scored = docs.select("doc_id", score(F.struct(*[known[f].alias(f) for f in FEATURES])).alias("score"))
+    narrow = docs.select("doc_id", *[known[f].alias(f) for f in FEATURES])
+
+    # not a pandas UDF, which would queue the texts its arguments come from until their scores are back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+
+    scored = narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("keep"))
