@@ -18,7 +18,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     matter use :func:`read_text`.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    text = T.from_gbk(F.col("content")) if encoding.upper() in ("GBK", "CP936") else F.decode("content", F.lit("UTF-8"))
+    text = T.from_gbk(F.col("content")) if encoding.upper() in ("GBK", "CP936") else F.decode("content", "UTF-8")
     body = F.regexp_replace(text, r"\r?\n\z", "")
     return files.select("path", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "value"))
 
@@ -140,8 +140,10 @@ def conll_block(words: Column) -> Column:
 
 
 def write_lines(df: DataFrame, path: str, value: str, encoding: str = "UTF-8") -> None:
-    """One text column as text files; GBK bytes if asked for."""
+    """One text column as text files, in UTF-8 or GBK, which leaves out what it lacks."""
     if encoding.upper() in ("GBK", "CP936"):
-        df.select(F.col(value)).write.option("encoding", "GBK").mode("overwrite").csv(path, quote="", escape="", sep="\u0001")
+        # the text sink knows only UTF-8; a CSV of one column, whose separator and quote never occur, is plain lines
+        one = df.select(F.explode(F.split(T.from_gbk(T.to_gbk(F.col(value))), "\n")).alias(value))
+        one.write.option("encoding", "GBK").mode("overwrite").csv(path, quote="\u0000", sep="\u0001", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         df.select(F.col(value)).write.mode("overwrite").text(path)
