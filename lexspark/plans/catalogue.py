@@ -296,17 +296,16 @@ wk AS (SELECT doc_id, sent_id, idx, word, CASE WHEN type = 5 THEN 'CD' WHEN type
 def weak_corpus(docs: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
     """``keys, sent_id, words, tags, places`` of each sentence: words without white space, and tags by type and neighbour."""
     seen = tokenizer.sentences(docs, keys).withColumn("w", F.filter("tokens", lambda t: ~t["type"].isin(T.SPACE, T.CRLF)))
-    following = lambda i: F.get(F.col("w.type"), i + 1)
 
-    def told(t, i):
+    def told(t, following):
         kind = t["type"]
         return (
             F.when(kind == T.NUMBER, "CD").when(kind == T.SYMBOL, "SYM").when(kind == T.CJK, "NN").when(kind != T.ENGLISH, "PU")
-            .when(following(i).isin(T.PERIOD, T.PUNCTUATION), "NR").when(F.length(t["token"]) <= 3, "DT").otherwise("NN")
+            .when(following.isin(T.PERIOD, T.PUNCTUATION), "NR").when(F.length(t["token"]) <= 3, "DT").otherwise("NN")
         )
 
     places = F.transform("w", lambda t: T.surface_features(t["token"], T.word_type(t["type"])))
-    return seen.select(*keys, "sent_id", F.col("w.token").alias("words"), F.transform("w", told).alias("tags"), places.alias("places"))
+    return seen.select(*keys, "sent_id", F.col("w.token").alias("words"), F.zip_with("w", F.slice("w.type", F.lit(2), F.size("w")), lambda t, n: F.when(t.isNotNull(), told(t, n))).alias("tags"), places.alias("places"))
 
 
 def _weak_rows(spark, sf) -> DataFrame:
