@@ -7,6 +7,7 @@ sentence have marks of their own.  Templates that begin with ``u`` score a tag,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -56,26 +57,27 @@ def expand(template: tuple, features: list, at: int) -> str:
     return "".join(out)
 
 
-def feature_column(template: str, places: Column, at: Column) -> Column:
-    """:func:`expand` as an expression: ``places`` is an array of arrays of strings, ``at`` counts from 0."""
-    out = []
-    for p in parse_template(template):
-        if isinstance(p, str):
-            if p:
-                out.append(F.lit(p))
-        else:
-            i = at + p[0]
-            outside = F.when(i < 0, F.element_at(F.array(*map(F.lit, BEFORE)), F.greatest(-i, F.lit(1)))).otherwise(F.element_at(F.array(*map(F.lit, BEHIND)), F.greatest(i - F.size(places) + 1, F.lit(1))))
-            out.append(F.when((i >= 0) & (i < F.size(places)), F.get(F.get(places, F.greatest(i, F.lit(0))), F.lit(p[1]))).otherwise(outside))
-    return F.concat(*out)
+def _shifted(places: Column, row: int, col: int) -> Column:
+    """For each place the feature ``col`` of the place ``row`` away, marks where there is none."""
+    own = F.transform(places, lambda p: F.get(p, F.lit(col)))
+    if row < 0:
+        return F.slice(F.concat(F.array(*map(F.lit, BEFORE[-row - 1 :: -1])), own), F.lit(1), F.size(places))
+    return F.slice(F.concat(own, F.array(*map(F.lit, BEHIND[:row]))), F.lit(row + 1), F.size(places)) if row else own
+
+
+def sentence_features(places: Column, templates: Iterable[str]) -> Column:
+    """:func:`expand` of all templates at all places: an array for each place.  Linear in the sentence's length."""
+    parsed = [parse_template(t) for t in templates]
+    fields = sorted({p for t in parsed for p in t if not isinstance(p, str)})
+    zipped = F.arrays_zip(F.transform(places, lambda p: F.lit(0)).alias("at"), *[_shifted(places, r, c).alias(f"f{k}") for k, (r, c) in enumerate(fields)])
+    told = lambda z, t: F.concat(*[F.lit(p) if isinstance(p, str) else z[f"f{fields.index(p)}"] for p in t])
+    return F.transform(zipped, lambda z: F.array(*[told(z, t) for t in parsed]))
 
 
-def features(sents: DataFrame, places: str, templates: tuple, keys: tuple) -> DataFrame:
-    """``keys, idx, template, feature`` of each place of each sentence; no shuffle."""
-    each = sents.select(*keys, places, F.explode(F.sequence(F.lit(0), F.size(places) - 1)).alias("idx")) if isinstance(places, str) else None
-    rows = each.filter(F.size(places) > 0)
-    named = F.array(*[F.struct(F.lit(n).alias("template"), feature_column(t, F.col(places), F.col("idx")).alias("feature")) for n, t in enumerate(templates)])
-    return rows.select(*keys, "idx", F.explode(named).alias("f")).select(*keys, "idx", "f.template", "f.feature")
+def features(sents: DataFrame, places: str, templates: Iterable[str], keys: tuple) -> DataFrame:
+    """``keys, idx, template, feature`` of each place of each sentence, whose feature arrays are in ``places``; no shuffle."""
+    each = sents.filter(F.size(places) > 0).select(*keys, F.posexplode(sentence_features(F.col(places), templates)).alias("idx", "f"))
+    return each.select(*keys, "idx", F.posexplode("f").alias("template", "feature"))
 
 
 def unigram_scores(found: DataFrame, weights: DataFrame, keys: tuple) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..scratch import gather, ship
-from .crf import Crf
+from .crf import Crf, sentence_features
 from .segment import per_sentence
 
 BOS = "-BOS-"
@@ -167,11 +167,9 @@ def crf_weights(corpus: DataFrame, templates: tuple, keys: tuple, places: str, t
     ``corpus`` has for each sentence an array of feature arrays ``places`` and an array ``tags``.  One pass for unigram
     features, one for pairs of tags; only counts are shuffled.
     """
-    from .crf import feature_column
-
     unigram = [t for t in templates if t.startswith("u")]
-    each = corpus.filter(F.size(tags) > 0).select(places, tags, F.explode(F.sequence(F.lit(0), F.size(tags) - 1)).alias("i"))
-    rows = each.select(F.explode(F.array(*[feature_column(t, F.col(places), F.col("i")) for t in unigram])).alias("feature"), F.get(tags, F.col("i")).alias("right"))
+    each = corpus.filter(F.size(tags) > 0).select(F.explode(F.arrays_zip(sentence_features(F.col(places), unigram).alias("f"), F.col(tags).alias("right"))).alias("z"))
+    rows = each.select(F.explode("z.f").alias("feature"), "z.right")
     seen = rows.groupBy("feature", "right").agg(F.count("*").alias("n"))
     weight = lambda n, of: F.round(F.log((n + 1).cast("double") / (of + 20).cast("double")), 6)
     one = seen.withColumn("of", F.sum("n").over(W.partitionBy("feature"))).select("feature", F.lit(None).cast("string").alias("left"), "right", weight(F.col("n"), F.col("of")).alias("weight"))

@@ -295,7 +295,9 @@ wk AS (SELECT doc_id, sent_id, idx, word, CASE WHEN type = 5 THEN 'CD' WHEN type
 
 def weak_corpus(docs: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
     """``keys, sent_id, words, tags, places`` of each sentence: words without white space, and tags by type and neighbour."""
-    seen = tokenizer.sentences(docs, keys).withColumn("w", F.filter("tokens", lambda t: ~t["type"].isin(T.SPACE, T.CRLF)))
+    # exploding an array of one element computes what it holds once, however often it is used then
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    seen = tokenizer.sentences(docs, keys).select(*keys, "sent_id", once(F.filter("tokens", lambda t: ~t["type"].isin(T.SPACE, T.CRLF)), "w"))
 
     def told(t, following):
         kind = t["type"]
@@ -304,8 +306,10 @@ def weak_corpus(docs: DataFrame, keys: tuple = ("doc_id",)) -> DataFrame:
             .when(following.isin(T.PERIOD, T.PUNCTUATION), "NR").when(F.length(t["token"]) <= 3, "DT").otherwise("NN")
         )
 
+    tags = F.zip_with("w", F.slice("w.type", F.lit(2), F.size("w")), lambda t, n: F.when(t.isNotNull(), told(t, n)))
+    done = seen.select(*keys, "sent_id", "w", once(tags, "tags"))
     places = F.transform("w", lambda t: T.surface_features(t["token"], T.word_type(t["type"])))
-    return seen.select(*keys, "sent_id", F.col("w.token").alias("words"), F.zip_with("w", F.slice("w.type", F.lit(2), F.size("w")), lambda t, n: F.when(t.isNotNull(), told(t, n))).alias("tags"), places.alias("places"))
+    return done.select(*keys, "sent_id", F.col("w.token").alias("words"), "tags", places.alias("places"))
 
 
 def _weak_rows(spark, sf) -> DataFrame:
