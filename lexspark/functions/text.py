@@ -63,7 +63,8 @@ def sentence_arrays(text: Column) -> Column:
         return F.when(F.size(tokens) <= SENTENCE_TOKENS, F.array(tokens)).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * SENTENCE_TOKENS + 1, F.lit(SENTENCE_TOKENS))))
 
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE_RE), F.lit(0))
-    return F.flatten(F.transform(parts, lambda s: chunks(typed_tokens(s))))
+    # two steps, so that a sentence's tokens are a variable to the second and computed once
+    return F.flatten(F.transform(F.transform(parts, typed_tokens), chunks))
 
 
 def word_type(kind: Column) -> Column:
