@@ -42,10 +42,18 @@ DETECTORS = {
     "email": (("@",), re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}")),
     "aws": (("AKIA",), re.compile(r"(?<![A-Za-z0-9])AKIA([0-9A-Z]{16})(?![A-Za-z0-9])")),
     "secret": (
-        ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey"),
-        re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_key|apikey)[ ]{0,3}[=:][ ]{0,3}[\"']?([A-Za-z0-9+/_\-]{8,256})"),
+        ("password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "apikey"),
+        re.compile(r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_\-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?((?:[A-Za-z0-9+/_\-]|\.++(?=[A-Za-z0-9+/_\-])){8,})"),
+    ),
+    "phone": (
+        ("+", "("),
+        re.compile(
+            r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}(?!\w)|(?<![\w(+])\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
+            # without + : area code in brackets, North American groups, and national numbers after a trunk 0
+            r"|(?<![\w.+\-/(])(?<!\d[ .\-/])(?:\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\(0\d{1,4}\) ?\d{3,9}(?:[ \-]\d{2,5}){0,3}|(?:1[ .\-])?(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})"
+            r"|0\d{1,4}(?: ?[/\-] ?| )\d{5,9}|0\d{1,4}(?:[ \-]\d{3,4}){2}|0\d(?:[ .\-]\d{2}){4}|0\d{2} \d{3}(?: \d{2}){2})(?!\w|[ .\-/]?\d)"
+        ),
     ),
-    "phone": (("+", "("), re.compile(r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}(?!\w)|(?<![\w(+])\(\d{3}\) ?\d{3}-\d{4}(?!\w)")),
     "card": (None, re.compile(r"(?<![\w.\-])(?:\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{13,19})(?![\w\-])")),
     "ip": (None, re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     "ssn": (None, re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")),
@@ -57,6 +65,8 @@ RESERVED = re.compile(r"(?:^|\.)(?:example\.(?:com|org|net)|[a-z]+\.example|inva
 _ALPHABETS = [("digit", "0123456789"), ("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
 _CLASS = {c: (name, i, letters) for name, letters in _ALPHABETS for i, c in enumerate(letters)}
 _HEX = {c: ("hex", i, "0123456789abcdef") for i, c in enumerate("0123456789abcdef")}
+#: Characters permuted at once; their number fits the 128 bits by which a round of :func:`permute` changes a half.
+PIECE = 48
 
 _SYLLABLES = {
     "latin": ([a + b for a in "bdfgklmnprstvz" for b in "aeiou"], {"f": "a", "m": "o", "": "e"}),
@@ -91,31 +101,38 @@ def permute_text(key: bytes, tweak: str, text: str, valid: Callable[[str], objec
     """
     hexes = len(text) >= 8 and all(c in _HEX for c in text) and any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
     table = _HEX if hexes else _CLASS
-    kinds = [table.get(c) for c in text]
-    size, value = 1, 0
-    for k in kinds:
-        if k:
-            size, value = size * len(k[2]), value * len(k[2]) + k[1]
-
-    def spell(v: int) -> str:
-        out = []
-        for c, k in zip(reversed(text), reversed(kinds)):
-            if k:
-                v, at = divmod(v, len(k[2]))
-                c = k[2][at]
-            out.append(c)
-        return "".join(reversed(out))
+
+    def step(whole: str) -> str:
+        """Piece by piece, each tweaked by those before it, so that the whole is a permutation too."""
+        out, chain = [], ""
+        for at in range(0, len(whole), PIECE):
+            piece = whole[at : at + PIECE]
+            kinds = [table.get(c) for c in piece]
+            size, value = 1, 0
+            for k in kinds:
+                if k:
+                    size, value = size * len(k[2]), value * len(k[2]) + k[1]
+            # tweaked by the pattern, not by the text: one permutation for all strings of the pattern
+            mark = f"{tweak}|{'h' if hexes else ''}|{chain}" + "".join(k[0][0] if k else c for c, k in zip(piece, kinds))
+            value = permute(key, mark, value, size)
+            new = []
+            for c, k in zip(reversed(piece), reversed(kinds)):
+                if k:
+                    value, i = divmod(value, len(k[2]))
+                    c = k[2][i]
+                new.append(c)
+            out += reversed(new)
+            chain = hashlib.sha256(f"{chain}{piece}".encode()).hexdigest() + "|"
+        return "".join(out)
 
     def proper(s: str) -> bool:
         alike = hexes == (len(s) >= 8 and all(c in _HEX for c in s) and any(c.isdigit() for c in s) and any(c.isalpha() for c in s))
         return alike and (valid is None or valid(s) == wanted)
 
     wanted = valid(text) if valid else None
-    # tweaked by the pattern, not by the text: one permutation for all strings of the pattern
-    mark = f"{tweak}|{'h' if hexes else ''}|" + "".join(k[0][0] if k else c for c, k in zip(text, kinds))
+    out = text
     while True:
-        value = permute(key, mark, value, size)
-        out = spell(value)
+        out = step(out)
         if proper(out):
             return out
 
@@ -146,7 +163,8 @@ def _digits(key: bytes, tweak: str, text: str, valid: Callable[[str], object]) -
 
 def _phone(key: bytes, text: str) -> str:
     head = re.match(r"\+\d{1,3}(?=[ .\-(])|", text).group()
-    return head + _digits(key, "phone", text[len(head) :], lambda s: s[:1] in "01")
+    # a trunk 0 stays, as it tells a national number
+    return head + _digits(key, "phone", text[len(head) :], lambda s: s[:1] in "01" if head else (s[:1] == "0") + 2 * (s[:1] in "01"))
 
 
 def _email(key: bytes, text: str) -> str:
@@ -199,9 +217,9 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     The type ``name`` spans a name without its title.
     """
     found: list[tuple[int, int, int, str]] = []
-    numbers = DIGIT.search(text) is not None
+    numbers, low = DIGIT.search(text) is not None, text.lower()
     for rank, (kind, (marks, pattern)) in enumerate(DETECTORS.items()):
-        if numbers if marks is None or kind == "phone" else any(m in text for m in marks):
+        if numbers if marks is None or kind == "phone" else any(m in (low if kind == "secret" else text) for m in marks):
             found += [(m.start(pattern.groups), rank, m.end(pattern.groups), kind) for m in pattern.finditer(text)]
     found += [(m.start(3), len(DETECTORS), m.end(3), "name") for m in names(text)]
     out, last = [], 0

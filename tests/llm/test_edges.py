@@ -97,6 +97,34 @@ def test_pii(docs):
     assert pii.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
+LONG_VALUE = "".join("aZ3kQ9_xB7-m"[i % 12] for i in range(400))
+SECRETS = {
+    f"token={LONG_VALUE} end": LONG_VALUE, "password: eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4f end": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4f",
+    "API_KEY=Zk3Lq9Wm2Xc7 end": "Zk3Lq9Wm2Xc7", "Password: hunter2hunter2. end": "hunter2hunter2", '{"token": "Zk3Lq9Wm2Xc7"} end': "Zk3Lq9Wm2Xc7", f"secret = {LONG_VALUE * 50} end": LONG_VALUE * 50,
+}
+
+
+@pytest.mark.parametrize("text", SECRETS, ids=range(len(SECRETS)))
+def test_secrets_are_replaced_to_their_end(text):
+    value, (out, n) = SECRETS[text], pii.rewrite(text, KEY, {})
+    a = text.index(value)
+    new = out[a : a + len(value)]
+    assert n == 1 and len(out) == len(text) and out[:a] == text[:a] and out.endswith(text[a + len(value) :])
+    assert not any(value[i : i + 6] == new[i : i + 6] for i in range(len(value) - 5)) and pii.rewrite(text.replace(value, value[:-1] + "A"), KEY, {})[0] != out
+
+
+@pytest.mark.parametrize("phone", ["212-555-0187", "212.555.0187", "1-212-555-0187", "(212) 555 0187", "030 1234567", "(030) 1234567", "089/1234567", "020 7946 0958", "01 23 45 67 89", "044 123 45 67"])
+def test_phones_without_a_country_code(phone):
+    out, n = pii.rewrite(f"Call {phone}, or not.", KEY, {})
+    new = out[5:-9]
+    assert n == 1 and new != phone and [c.isdigit() for c in new] == [c.isdigit() for c in phone] and pii.entities(out) == pii.entities(f"Call {phone}, or not.")
+
+
+def test_numbers_that_are_no_phones_stay():
+    text = "On 01.02.2023 or 05-06-2024 at 10:30, 1 000 000 people in 2020 2021, 3.141.592 and 0.125 of 1234."
+    assert pii.rewrite(text, KEY, {}) == (text, 0)
+
+
 def test_top_k(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (None, [1.0, 1.0]), (6, [float("nan"), 1.0]), (7, [2.0, None]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("block", F.lit(1)).withColumn("dims", F.lit("x"))
