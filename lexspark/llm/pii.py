@@ -11,7 +11,8 @@ Personal names (a title, then capitalised words) have no finite pattern.  Each p
 syllables of its script; given names end as its gender, known from the title or the name, asks for.  These can collide,
 so the corpus's distinct parts are checked: of the parts that share a surrogate, or whose surrogate is itself a real
 part, all but the first rightful owner draw again, until none is left.  The few redrawn parts are sent along with the
-rewriting.  The same part gets the same surrogate everywhere, so references to a person stay together.
+rewriting.  The same part gets the same surrogate everywhere, so references to a person stay together; within a text
+that holds for untitled mentions of a titled name's parts too.  Names that no title of their text tells aren't found.
 """
 
 from __future__ import annotations
@@ -211,17 +212,34 @@ def names(text: str) -> Iterator[re.Match]:
     return NAME.finditer(text) if any(t in text for t in TITLE_ROOTS) else iter(())
 
 
+def name_places(text: str) -> list[tuple[int, int, list[tuple[str, str, str]]]]:
+    """``start, end, parts`` of the names after titles, then of all other places where one of their parts stands alone.
+
+    A part that is both a given and a family name goes by its first titled place; a genitive s may follow it.
+    """
+    titled = [(m.start(3), m.end(3), name_parts(m[1], m[3])) for m in names(text)]
+    if not titled:
+        return []
+    known: dict[str, tuple[str, str, str]] = {}
+    for *_, parts in titled:
+        for p in parts:
+            known.setdefault(p[2], p)
+    alone = re.compile(rf"\b({'|'.join(sorted(map(re.escape, known), key=len, reverse=True))})(?=s?\b)")
+    inside = {i for a, b, _ in titled for i in range(a, b)}
+    return titled + [(m.start(), m.end(), [known[m[1]]]) for m in alone.finditer(text) if m.start() not in inside]
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Disjoint ``start, end, type`` by place; of overlapping entities the first stays, of those the first type.
 
-    The type ``name`` spans a name without its title.
+    The type ``name`` spans a name without its title, or a part of such a name elsewhere in the text.
     """
     found: list[tuple[int, int, int, str]] = []
     numbers, low = DIGIT.search(text) is not None, text.lower()
     for rank, (kind, (marks, pattern)) in enumerate(DETECTORS.items()):
         if numbers if marks is None or kind == "phone" else any(m in (low if kind == "secret" else text) for m in marks):
             found += [(m.start(pattern.groups), rank, m.end(pattern.groups), kind) for m in pattern.finditer(text)]
-    found += [(m.start(3), len(DETECTORS), m.end(3), "name") for m in names(text)]
+    found += [(a, len(DETECTORS), b, "name") for a, b, _ in name_places(text)]
     out, last = [], 0
     for a, _, b, kind in sorted(found):
         if a >= last:
@@ -233,11 +251,11 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str, str], int]) -> tuple[str, int]:
     """``text`` with all entities replaced, and how many there were."""
     spans = entities(text)
-    titles = {m.start(3): m[1] for m in names(text)} if any(kind == "name" for *_, kind in spans) else {}
+    told = {a: parts for a, _, parts in name_places(text)} if any(kind == "name" for *_, kind in spans) else {}
     out, at = [], 0
     for a, b, kind in spans:
         if kind == "name":
-            words = [draw_name(key, *p, redrawn.get(p, 0)) for p in name_parts(titles[a], text[a:b])]
+            words = [draw_name(key, *p, redrawn.get(p, 0)) for p in told[a]]
             word = words[0] + "".join(g + w for g, w in zip(re.findall("[ -]", text[a:b]), words[1:]))
         else:
             word = surrogate(key, kind, text[a:b])

@@ -125,6 +125,13 @@ def test_numbers_that_are_no_phones_stay():
     assert pii.rewrite(text, KEY, {}) == (text, 0)
 
 
+def test_untitled_mentions_of_a_titled_name_follow_it():
+    out, n = pii.rewrite("Huber kam. Frau Anna Huber sagte: Anna geht. Hubers Auto, Huber's Haus, Huberta und Herr Karl Maier-Huber.", KEY, {})
+    given, family = out.split("Frau ")[1].split()[:2]
+    assert "Anna" not in out and "Huberta" in out and "Huber" not in out.replace("Huberta", "")
+    assert n == 6 and out.startswith(f"{family} kam.") and f"sagte: {given} geht. {family}s Auto, {family}'s Haus, Huberta und Herr" in out and out.endswith(f"-{family}.")
+
+
 def test_top_k(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (None, [1.0, 1.0]), (6, [float("nan"), 1.0]), (7, [2.0, None]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("block", F.lit(1)).withColumn("dims", F.lit("x"))
