@@ -30,7 +30,11 @@ SCALE = 1_000
 ADJACENT, SIBLING = 0.9, 0.7
 HINT_GOOD, HINT_BAD = 2.0, 2.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)([^<>]*)>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)([^<>]*)>|[^<]+|<", re.S)
+#: Elements without text of the page, and their ends; a title counts in the head only.
+_SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "title")}
+#: What may stand in a head; any other tag, and text, ends it.
+_HEAD = set("head title meta link base script style noscript template".split())
 _BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _GOOD, _BAD = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "select"}
@@ -50,7 +54,11 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order.  Unclosed, stray and crossing tags are taken as they come."""
+    """The text blocks of a page in order.  Unclosed, stray and crossing tags are taken as they come.
+
+    Scripts, styles and the like go up to their end tags; of one without an end tag, or closed in itself, only the tag
+    goes.  A head ends with its end tag, or before the first tag or text that can't be part of it.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int, bool, bool]] = []  # tag, number, good, bad
     opened: dict[str, int] = {}
@@ -75,29 +83,48 @@ def blocks(page: str) -> list[Block]:
         opened[tag] -= 1
         good, bad, low = good - g, bad - b, min(low, len(stack))
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
+    at, head, unclosed = 0, False, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        at, tag = m.end(), m[2]
         if tag is None:
             part = m.group()
             if part[0] != "<" or part == "<":
+                if head and not part.strip():
+                    continue
+                head = False
                 part = entities.unescape(part)
                 text.append(part)
                 if opened.get("a"):
                     links += len(part.strip())
             continue
         tag = tag.lower()
+        if tag == "head":
+            head = not m[1]
+            continue
+        head = head and tag in _HEAD
+        if not m[1] and tag in _SKIPPED and (head or tag != "title"):
+            closed = m[3].endswith("/") and tag in ("svg", "template")
+            end = None if closed or tag in unclosed else _SKIPPED[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif not closed:
+                unclosed.add(tag)
+            continue
+        if head:
+            continue
         if tag in _BLOCK:
             flush()
-        if m[2]:
+        if m[1]:
             if opened.get(tag):
                 while stack[-1][0] != tag:
                     pop()
                 pop()
-        elif tag not in _VOID and not m[4].endswith("/"):
+        elif tag not in _VOID and not m[3].endswith("/"):
             if tag in ("p", "li", "td", "tr") and stack and stack[-1][0] == tag:
                 pop()
             number += 1
-            g, b = tag in _GOOD, tag in _BAD or bool(m[4] and _BAD_CLASS.search(m[4]))
+            g, b = tag in _GOOD, tag in _BAD or bool(m[3] and _BAD_CLASS.search(m[3]))
             stack.append((tag, number, g, b))
             opened[tag] = opened.get(tag, 0) + 1
             good, bad = good + g, bad + b
