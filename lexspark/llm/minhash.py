@@ -1,7 +1,8 @@
 """Near-duplicate groups by one-permutation MinHash with optimal densification.
 
-Text is lower-cased and cut into words (runs of ASCII letters, digits and all non-ASCII characters).  Shingles are
-runs of three words; a shorter text is one shingle.  One hash of each shingle picks one of 256 bins by its top byte
+Text is lower-cased and cut into words: runs of ASCII letters, digits and non-ASCII characters other than white space
+and punctuation; each character of a script written without blanks is a word of its own.  Shingles are runs of three
+words; a shorter text is one shingle.  One hash of each shingle picks one of 256 bins by its top byte
 and leaves its minimum there.  An empty bin copies the first non-empty bin in an order of its own (optimal
 densification), so two documents agree in a bin with a probability equal to the Jaccard index of their shingles.
 40 bands of 4 bins are hashed into buckets.  Within a bucket each document is compared only with its least id, a
@@ -30,6 +31,11 @@ BINS, SHINGLE, BANDS, ROWS = 256, 3, 40, 4
 THRESHOLD = 0.5
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: First bytes of characters that are neither punctuation nor white space nor of a script written without blanks:
+#: letters of Latin, Greek (without U+0387) and Cyrillic.
+PLAIN = (0xC3, 0xC4, 0xC5, 0xCF, 0xD0, 0xD1)
+#: RE2: characters that are words of their own, and those between words.
+ALONE, BETWEEN = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\x{30FC}\x{FF70}])", r"[\p{Z}\p{P}\x{85}]"
 
 
 class Hasher:
@@ -117,6 +123,24 @@ class Hasher:
         return out
 
 
+def spaced(low: pa.Array) -> pa.Array:
+    """Texts with a blank for each character between words, and blanks around those that are words of their own."""
+    _, offs, data = low.buffers()
+    if data is None:
+        return low
+    offsets = np.frombuffer(offs, np.int64, len(low) + 1, low.offset * 8)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    marked = data >= 0xC0
+    for first in PLAIN:
+        marked &= data != first
+    ends = np.concatenate([[0], np.cumsum(marked)])[offsets - offsets[0]]
+    some = pa.array(ends[1:] > ends[:-1])
+    if not (ends[-1] > ends[0]):
+        return low
+    new = pc.replace_substring_regex(pc.replace_substring_regex(low.filter(some), ALONE, r" \1 "), BETWEEN, " ")
+    return pc.replace_with_mask(low, some, new)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for batch in batches:
@@ -128,7 +152,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             part = batch.slice(a, b - a)
             raw = part.column(1)
-            low = pa.concat_arrays([pc.utf8_lower(raw).cast(pa.large_string())])
+            low = spaced(pa.concat_arrays([pc.utf8_lower(raw).cast(pa.large_string())]))
             _, offs, data = low.buffers()
             offsets = np.frombuffer(offs, np.int64, len(low) + 1, low.offset * 8)
             data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
