@@ -175,7 +175,10 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     Tool calls and results marked up in a text (:data:`CALL`, :data:`RESULT`) are taken as they are.  The dialogue
     itself is told in the same form: a user's turn ``n`` calls ``reply`` under the identifier ``turn-n``, after the
     user's turn before; an assistant's turn is the result of the nearest earlier user's turn, or an orphan; a
-    system's turn calls ``set_context``.  Null turns count as -1, other roles have no turn call of their own.
+    system's turn calls ``set_context``.  A turn of role ``tool`` or ``function`` is the result of the oldest earlier
+    marked-up call that waits for one (it has an id, and no marked-up result), or an orphan; with marked-up results in
+    it only what else it says is told, as an orphan.  Turns of any other role, or of none, are orphans, so each turn is
+    told and each conversation has a row.  Null turns count as -1.
     """
     said = messages.select("conv_id", F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("seq"), F.lower("role").alias("role"), F.col("text").cast("string").alias("text"))
     before = W.partitionBy("conv_id").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
@@ -187,11 +190,35 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("asked").isNotNull() & (F.col("role") == "user"), F.array(name("asked"))).otherwise(F.array().cast("array<string>")).alias("after"),
     )
     heard = said.filter("role = 'assistant'").select("conv_id", name("asked").alias("call_id"), "seq", F.col("text").alias("content"))
-    marked = lambda pattern: said.filter(F.col("text").contains("<tool_")).select("conv_id", "seq", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("json"))
+    other = said.filter("role IS NULL OR role NOT IN ('user', 'system', 'assistant', 'tool', 'function')").select("conv_id", F.lit(None).cast("string").alias("call_id"), "seq", F.col("text").alias("content"))
+    marked = lambda pattern: said.filter(F.col("text").contains("<tool_")).select("conv_id", "seq", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("nth", "json"))
     get = lambda k: F.get_json_object("json", f"$.{k}")
-    calls = marked(CALL).select("conv_id", get("id").alias("call_id"), "seq", get("name").alias("name"), get("arguments").alias("arguments"), F.coalesce(F.from_json(get("after"), "array<string>"), F.array().cast("array<string>")).alias("after"))
+    asked = marked(CALL)
+    calls = asked.select("conv_id", get("id").alias("call_id"), "seq", get("name").alias("name"), get("arguments").alias("arguments"), F.coalesce(F.from_json(get("after"), "array<string>"), F.array().cast("array<string>")).alias("after"))
     results = marked(RESULT).select("conv_id", get("id").alias("call_id"), "seq", get("content").alias("content"))
-    return spoken.unionByName(calls), heard.unionByName(results)
+    waiting = asked.select("conv_id", "seq", "nth", get("id").alias("call_id"))
+    return spoken.unionByName(calls), heard.unionByName(other).unionByName(results).unionByName(_tool_turns(said, waiting, results))
+
+
+def _tool_turns(said: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Results told by tool and function turns, which answer waiting calls first in, first out."""
+    none = lambda kind: F.lit(None).cast(kind)
+    turns = said.filter("role IN ('tool', 'function')").select("conv_id", "seq", "text", F.regexp_like(F.coalesce("text", F.lit("")), F.lit(RESULT)).alias("marked"))
+    rest = turns.filter("marked").select("conv_id", none("string").alias("call_id"), "seq", F.regexp_replace("text", F.lit(RESULT), F.lit("")).alias("content")).filter(F.trim("content") != "")
+    plain = turns.filter("NOT marked").select("conv_id", "seq", F.lit(0).alias("nth"), none("string").alias("call_id"), F.lit("turn").alias("kind"), F.col("text").alias("content"))
+    asked = calls.select("conv_id", "seq", "nth", "call_id", F.lit("call").alias("kind"), none("string").alias("content"))
+    told = results.select("conv_id", "seq", F.lit(0).alias("nth"), "call_id", F.lit("result").alias("kind"), none("string").alias("content"))
+    answered = F.max(F.col("kind") == "result").over(W.partitionBy("conv_id", "call_id"))
+    events = plain.unionByName(asked.unionByName(told).filter("call_id IS NOT NULL").withColumn("answered", answered).filter("kind = 'call' AND NOT answered").drop("answered"))
+    within = W.partitionBy("conv_id")
+    waiting = F.coalesce(F.sum((F.col("kind") == "call").cast("int")).over(within.orderBy("seq").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # the k-th turn, before which c calls came: k + min(0, least of c - j up to j = k) turns have an answered call by then
+    numbered = events.withColumn("k", F.row_number().over(W.partitionBy("conv_id", "kind").orderBy("seq", "nth", "content"))).withColumn("c", waiting)
+    low = lambda to: F.coalesce(F.least(F.lit(0), F.min(F.col("c") - F.col("k")).over(within.orderBy("k").rowsBetween(W.unboundedPreceding, to))), F.lit(0))
+    met = numbered.filter("kind = 'turn'").withColumn("m", F.col("k") + low(0)).withColumn("m0", F.col("k") - 1 + low(-1))
+    queue = numbered.filter("kind = 'call'").select(F.col("conv_id").alias("q_conv"), F.col("k").alias("q"), F.col("call_id").alias("q_id"))
+    same = F.col("conv_id").eqNullSafe(F.col("q_conv")) & (F.when(F.col("m") > F.col("m0"), F.col("m")) == F.col("q"))
+    return rest.unionByName(met.join(queue, same, "left").select("conv_id", F.col("q_id").alias("call_id"), "seq", "content"))
 
 
 def format_chats(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
