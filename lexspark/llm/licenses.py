@@ -4,7 +4,7 @@ A notice with at most ``k`` edits is cut into ``k + 1`` pieces; by the pigeonhol
 least one piece unchanged.  All pieces of all notices are looked up at once with an Aho-Corasick automaton; each
 hit gives a window in which a match must lie, and overlapping windows of a notice are merged.  In each window the
 ``regex`` library's bounded-error matching verifies the edits (insertions, deletions, substitutions) and gives the
-span with the fewest; to its left and right the search goes on, so the spans of a notice never overlap.
+span with the fewest, digits unchanged; to its left and right the search goes on, so the spans of a notice never overlap.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ NOTICES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
     ("GPL-2.0", "GNU General Public License, version 2"),
     ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification"),
@@ -58,9 +59,13 @@ def best_spans(pattern, text: str, start: int, end: int) -> list[tuple[int, int,
 
 
 def resolve(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Of overlapping spans ``notice, start, end, edits`` those with the fewest edits stay, then the longest, the first."""
+    """Of overlapping spans ``notice, start, end, edits`` those with the fewest edits stay, then the longest, the first.
+
+    A span within a longer one goes before that, however few its edits: it is part of the other's notice.
+    """
     kept: list[tuple[int, int, int, int]] = []
-    for span in sorted(spans, key=lambda r: (r[3], r[1] - r[2], r[1], r[0])):
+    outer = [s for s in spans if not any(k[1] <= s[1] and s[2] <= k[2] and s[2] - s[1] < k[2] - k[1] for k in spans)]
+    for span in sorted(outer, key=lambda r: (r[3], r[1] - r[2], r[1], r[0])):
         if all(span[2] <= k[1] or k[2] <= span[1] for k in kept):
             kept.append(span)
     return sorted(kept, key=lambda r: r[1])
@@ -69,7 +74,9 @@ def resolve(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
 def compile_notice(notice: str, edits: int):
     import regex
 
-    return regex.compile(f"(?be)(?:{regex.escape(fold(notice))}){{e<={edits}}}")
+    # no edit puts in a digit, and a version at the end isn't cut off: digits are met exactly
+    end = "(?<=[0-9])(?![0-9])" if notice[-1].isdigit() else ""
+    return regex.compile(f"(?be)(?:{regex.escape(fold(notice))}){{e<={edits}:[^0-9]}}{end}")
 
 
 class Scanner:
