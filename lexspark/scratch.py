@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +28,46 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"lexspark-{os.getuid()}")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """What is written at ``path`` goes when the driver ends."""
+    files, at = _filesystem(spark, path)
+    files.deleteOnExit(at)
+
+
+#: Where the tables lie that :func:`materialize` wrote.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors."""
+    """``df`` written to the shared folder and read again: its lineage ends there and survives lost executors.
+
+    The files go with :func:`discard`, or when the driver ends.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    forget(df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            files, at = _filesystem(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def gather(df: DataFrame, most: int = MODEL_ROWS) -> list[tuple]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tokenizer
-from ..scratch import fresh_path
+from ..scratch import forget, fresh_path
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,7 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     query.awaitTermination()
+    forget(spark, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
