@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, fresh_path, materialize, shared_dir  # noqa: F401
+
 #: Most rows of a narrow table that are sent to every executor; beyond it joins shuffle instead.
 BROADCAST_ROWS = 1_000_000
 
@@ -16,48 +14,6 @@ BROADCAST_ROWS = 1_000_000
 TOKEN_RE = r"[^ \t\r\n]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder is chosen and set, but only for a single-JVM master; on a
-    cluster an unset folder is an error, because a machine-local folder would not be readable elsewhere.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = os.path.join(tempfile.gettempdir(), f"lexspark-{os.getuid()}-{uuid.uuid4().hex[:8]}")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception as error:  # a static setting can't be changed in a running session
-            if "CANNOT_MODIFY" not in str(error):
-                raise
-            global _LOCAL
-            _LOCAL = path = _LOCAL or path
-    return path.rstrip("/")
-
-
-_LOCAL = ""
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table written by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a narrow, materialised table for broadcast if a count shows at most ``rows`` rows; else leave it."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -13,7 +13,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bitsliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitslice.top_k(table(spark, sf_dir, "embeddings"))
+    vectors = table(spark, sf_dir, "embeddings")
+    return bitslice.top_k(vectors, bitslice.stated_queries(vectors))
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
