@@ -6,9 +6,9 @@ words; a shorter text is one shingle.  One hash of each shingle picks one of 256
 and leaves its minimum there.  An empty bin copies the first non-empty bin in an order of its own (optimal
 densification), so two documents agree in a bin with a probability equal to the Jaccard index of their shingles.
 40 bands of 4 bins are hashed into buckets.  Within a bucket each document is compared only with its least id, a
-star of ``m - 1`` edges instead of ``m (m - 1) / 2`` pairs; those that turn out unlike it are clustered among
-themselves by leaders, each again a star, so no member goes unchecked.  An edge is verified by the share of equal
-bins.  Connected edges form groups.
+star of ``m - 1`` edges instead of ``m (m - 1) / 2`` pairs; those that turn out unlike it are held against the other
+members in blocks (:func:`leftovers`), so no two alike members of a bucket stay apart.  An edge is verified by the
+share of equal bins.  Connected edges form groups.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import discard, materialize, small_side
 
 BINS, SHINGLE, BANDS, ROWS = 256, 3, 40, 4
 #: Least estimated Jaccard index of a verified edge.
 THRESHOLD = 0.5
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
+#: Members of a block of a bucket whose members are unlike its centre.
+GRID = 2_048
 #: First bytes of characters that are neither punctuation nor white space nor of a script written without blanks:
 #: letters of Latin, Greek (without U+0387) and Cyrillic.
 PLAIN = (0xC3, 0xC4, 0xC5, 0xCF, 0xD0, 0xD1)
@@ -178,49 +180,117 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(-1)
 
 
-def _stack(sigs: pd.Series) -> np.ndarray:
+def _stack(sigs: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), BINS)
 
 
-def _leaders(threshold: float):
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids, sigs = pdf["id"].to_numpy(), _stack(pdf["sig"])
+def forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: int, threshold: float) -> list[tuple[int, int, float]]:
+    """``a, b, jaccard``: links that join whatever is alike between the first ``n_left`` of ``ids`` and the others.
+
+    Each of ``left`` is held against each of ``right``.  Of the alike ones only those links are told that join what
+    wasn't joined before, fewer than there are members.
+    """
+    out, group = [], np.arange(len(ids))
+    for i in range(n_left):
+        like = similarity(right, left[i])
+        near = np.flatnonzero((like >= threshold) & (ids[n_left:] != ids[i])) + n_left
+        groups, first = np.unique(group[near], return_index=True)
+        new = groups != group[i]
+        for j in near[first[new]]:
+            a, b = sorted((int(ids[i]), int(ids[j])))
+            out.append((a, b, float(like[j - n_left])))
+        if new.any():
+            group[np.isin(group, groups[new])] = group[i]
+    return out
+
+
+def _compare(threshold: float):
+    """Over rows sorted by ``bucket, i, j, whole``: those of ``whole`` 0 against those of 1, within each ``bucket, i, j``."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Each run of rows of equal ``bucket, i, j``, whatever batches it comes in."""
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if last is not None and (at[a] != last).any():
+                    yield pa.concat_tables(held)
+                    held = []
+                held.append(t.slice(a, b - a))
+                last = at[a]
+        if held:
+            yield pa.concat_tables(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, float]] = []
-        left = np.arange(len(ids))
-        while len(left) > 1:
-            head, left = left[0], left[1:]
-            like = similarity(sigs[left], sigs[head])
-            near = like >= threshold
-            out += [(ids[head], ids[i], s) for i, s in zip(left[near], like[near])]
-            left = left[~near]
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
-
-    return cluster
-
-
-def edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified star edges ``a < b, jaccard``, each once; copies of equal words have Jaccard index 1."""
-    sigs = materialize(signatures(docs), "signatures")
-    copies = sigs.select("key", "id").withColumn("a", F.min("id").over(W.partitionBy("key"))).filter("a < id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    copies = materialize(copies, "copies")
+        for t in groups(batches):
+            n = t.column(3).to_pylist().count(0)
+            sigs = _stack(t.column(5).to_pylist())
+            out += forest(t.column(4).to_numpy(), sigs[:n], sigs[n:], n, threshold)
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        yield _links(out)
+
+    return run
+
+
+def _links(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
+
+
+def leftovers(stars: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b, jaccard`` of members unlike the centre of their bucket, to all other members of that bucket.
+
+    ``stars`` is ``bucket, id, unlike`` without the centres.  What is like the centre is linked through it, so with
+    these links no pair of the bucket that is alike stays in two groups.  The members are cut into blocks of about
+    GRID rows: each block of unlike ones meets each block of all in a task of bounded memory, which emits fewer links
+    than it has rows.  In a bucket of m members, u of them unlike, that are u * m comparisons, vectorised.
+    """
+    sizes = stars.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.col("unlike").cast("bigint")).alias("u")).filter("u > 0 AND m > 1")
+    sizes = sizes.select("bucket", F.ceil(F.col("u") / F.lit(GRID)).cast("int").alias("ni"), F.ceil(F.col("m") / F.lit(GRID)).cast("int").alias("nj"))
+    members = stars.join(sizes, "bucket").join(one, "id")
+    spread = F.xxhash64("id", "bucket")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = members.filter("unlike").select("bucket", F.pmod(spread, F.col("ni")).cast("int").alias("i"), each("nj").alias("j"), F.lit(0).alias("whole"), "id", "sig")
+    whole = members.select("bucket", each("ni").alias("i"), F.pmod(spread, F.col("nj")).cast("int").alias("j"), F.lit(1).alias("whole"), "id", "sig")
+    placed = rest.unionByName(whole).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "whole")
+    return placed.mapInArrow(_compare(threshold), "a bigint, b bigint, jaccard double")
+
+
+def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified links ``a < b, jaccard``, each once, of :func:`signatures`; copies of equal words have Jaccard index 1.
+
+    Written to the shared folder; what it was made from is removed.
+    """
+    sigs = materialize(sigs, "signatures")
+    # least ids are combined before they are shuffled, so a text that a third of all rows share is no task's all
+    least = sigs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
+    copies = materialize(sigs.select("key", "id").join(least, "key").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "copies")
     # of equal texts only the least id is searched for further
     lone = sigs.select("id", "bands").join(small_side(copies.select(F.col("b").alias("id"))), "id", "left_anti").select("id", F.explode("bands").alias("bucket"))
-    bucket = W.partitionBy("bucket")  # a bucket's hash covers the number of its band
-    stars = lone.select("bucket", "id", F.min("id").over(bucket).alias("a"), F.max("id").over(bucket).alias("z")).filter("a < z").select("bucket", "id", "a")
-    stars = materialize(stars, "stars")
+    # a bucket's hash covers the number of its band
+    centres = materialize(lone.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a"), "centres")
+    stars = materialize(lone.join(small_side(centres), "bucket").filter("a < id"), "stars")
 
     same = F.pandas_udf(lambda x, y: pd.Series(similarity(_stack(x), _stack(y)) if len(x) else np.empty(0)), "double")
     one = sigs.select("id", "sig")
-    pairs = stars.filter("a < id").select("a", F.col("id").alias("b")).distinct()
+    pairs = stars.select("a", F.col("id").alias("b")).distinct()
     judged = pairs.join(one.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    # an id of several texts has a row for each
     judged = materialize(judged.select("a", "b", same("sa", "sb").alias("jaccard")).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "judged")
-    # members unlike their star's centre, by bucket; buckets of one such member have nothing left to compare
-    rest = stars.join(judged.filter(F.col("jaccard") < threshold).select("a", F.col("b").alias("id")), ["a", "id"], "left_semi")
-    rest = rest.withColumn("n", F.count("*").over(bucket)).filter("n > 1").select("bucket", "id")
-    more = rest.join(one, "id").groupBy("bucket").applyInPandas(_leaders(threshold), "a bigint, b bigint, jaccard double").filter("a < b")
-    found = copies.unionByName(judged.filter(F.col("jaccard") >= threshold)).unionByName(more)
-    return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    told = stars.join(judged.select("a", F.col("b").alias("id"), (F.col("jaccard") < threshold).alias("unlike")), ["a", "id"])
+    more = leftovers(told.select("bucket", "id", "unlike"), one, threshold)
+    found = copies.withColumn("jaccard", F.lit(1.0)).unionByName(judged.filter(F.col("jaccard") >= threshold)).unionByName(more)
+    found = materialize(found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "links")
+    discard(sigs, copies, centres, stars, judged)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,11 +312,13 @@ def components(links: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = materialize(links.select("a", "b").filter("a < b").distinct(), "links")
+    now = materialize(links.select("a", "b").filter("a < b").distinct(), "edges")
     seen = mark(now)
     while True:
-        now = materialize(star(materialize(star(now, True), "links"), False), "links")
-        last, seen = seen, mark(now)
+        large = materialize(star(now, True), "edges")
+        small = materialize(star(large, False), "edges")
+        discard(now, large)
+        now, last, seen = small, seen, mark(small)
         if last == seen:
             break
     ends = now.select(F.col("b").alias("id"), F.col("a").alias("group_id"))
@@ -254,21 +326,54 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, group_id``: each document of a group of at least two near-duplicates; ``group_id`` is the least id.
+    """``doc_id, group_id, n_links``: each document of a group of at least two near-duplicates, and how many verified
+    links it has; ``group_id`` is the least id.
 
     Documents without near-duplicates have no row.  Null ids and null texts belong to no group.  Texts without a
     word are near-duplicates only if they are equal, empty ones included.  Rows of the same id are one document;
-    where their texts differ, it belongs with the near-duplicates of each.  Extra columns are ignored.
+    where their texts differ, it belongs with the near-duplicates of each.  Texts are taken whole, of any length; ties
+    go to the lower id, an empty table gives no rows, extra columns are ignored.
     """
-    found = components(edges(docs, threshold))
-    return found.select(F.col("id").alias("doc_id"), "group_id")
+    found = links(signatures(docs), threshold)
+    ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    return components(found).join(ends, "id").select(F.col("id").alias("doc_id"), "group_id", "n_links")
+
+
+#: Documents whose id is null, or stands for several rows, are told apart by numbers from this one on.
+ODD = 1 << 62
+
+
+def _gone(sigs: DataFrame, threshold: float) -> DataFrame:
+    """``gone``: the ids of all members of groups but the least."""
+    found = components(links(sigs, threshold))
+    return materialize(found.filter("id <> group_id").select(F.col("id").alias("gone")), "gone")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group, the least id; rows keep all columns, ungrouped rows are unchanged.
+    """``docs`` with one document of each group of near-duplicates, that of the least id; all columns stay as they are.
+
+    Here a document is a row's text: of rows that repeat an id and a text one stays, an id of several texts is a
+    document for each of them, and rows with a null id take part too; both stand behind rows whose id is their own.
+    Rows with a null text are no text's copy and stay; texts without words go only as copies of equal ones.  Very long
+    texts are taken whole.  An empty table stays empty, columns may have any names, ids are less than :data:`ODD`.
 
-    The ids that go are broadcast if a count shows them to be few enough, so texts needn't be shuffled.
+    Texts aren't shuffled but those of rows with a null or a repeated id.  The ids that go are broadcast if a count
+    shows them to be few enough.
     """
-    gone = materialize(near_duplicates(docs, threshold).filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone")), "gone")
-    out = small_side(gone)
-    return docs.join(out, docs["doc_id"] == out["__gone"], "left_anti")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names can't clash
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}").cast(kind) for c, kind in (("doc_id", "bigint"), ("text", "string")))
+    ids = rows.groupBy(doc_id.alias("id")).agg(F.count("*").alias("n"))
+    twice = materialize(ids.filter("id IS NULL OR n > 1").select("id"), "twice")
+    plain, odd = rows, None
+    if twice.limit(1).count():
+        again, same = small_side(twice), text.isNotNull() & doc_id.eqNullSafe(F.col("id"))
+        plain = rows.join(again, same, "left_anti")
+        # one row of each id and text, combined before the shuffle: a row that is repeated without end is few rows
+        once = rows.join(again, same, "left_semi").groupBy(doc_id.alias("id"), text.alias("text")).agg(F.first(F.struct(*rows.columns)).alias("row"))
+        odd = materialize(once.select((F.lit(ODD) + F.monotonically_increasing_id()).alias("doc_id"), "text", "row"), "odd")
+    told = plain.select(doc_id.alias("doc_id"), text.alias("text"))
+    gone = small_side(_gone(signatures(told if odd is None else told.unionByName(odd.select("doc_id", "text"))), threshold))
+    out = plain.join(gone, doc_id == F.col("gone"), "left_anti")
+    if odd is not None:
+        out = out.unionByName(odd.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("row.*"))
+    return out.toDF(*docs.columns)
