@@ -1,18 +1,21 @@
 """Surrogates for personal data.
 
-Detected entities are replaced by keyed surrogates of the same type and format.  E-mail addresses, phone and card
-numbers, IP addresses and secrets go through a keyed permutation of all strings of their pattern: every character
-stays in its class (script and case of letters, digits, hexadecimal digits) and separators stay, so lengths and
-formats are kept.  A permutation maps distinct entities to distinct surrogates by construction, without any state.
-Validity is kept by walking the permutation's cycle until it is met again: a card number keeps its Luhn state, an
-address its network class, a phone number its country code.
-
-Personal names (a title, then capitalised words) have no finite pattern.  Each part of a name gets a name built from
-syllables of its script; given names end as its gender, known from the title or the name, asks for.  These can collide,
-so the corpus's distinct parts are checked: of the parts that share a surrogate, or whose surrogate is itself a real
-part, all but the first rightful owner draw again, until none is left.  The few redrawn parts are sent along with the
-rewriting.  The same part gets the same surrogate everywhere, so references to a person stay together; within a text
-that holds for untitled mentions of a titled name's parts too.  Names that no title of their text tells aren't found.
+Detected entities are replaced by keyed surrogates of the same type and format.  E-mail addresses, phone, card, social
+security and bank account numbers, IP addresses and secrets go through a keyed permutation of all strings of their
+pattern: every character stays in its class (script and case of letters, digits, hexadecimal digits) and separators
+stay, so lengths and formats are kept.  A permutation maps distinct entities to distinct surrogates by construction,
+without any state.  Validity is kept by walking the permutation's cycle until it is met again: a card number keeps its
+Luhn sum, an address its network class.  A phone number is its country code and its digits, however they are
+separated: the code stays, and one number in two formats stays one number.  Digits behind it, parted by no more than a
+blank, are taken for a part of it, up to the 15 that such numbers can have (11 in North America).
+
+Personal names (behind titles, or words like "my name is") have no finite pattern.  Each part of a name has one surrogate in the whole corpus,
+built from syllables of its script, whatever titles it stands behind; that of a given name ends as its gender asks for, which
+the titles of the whole corpus tell, or else the name's own ending.  Drawn surrogates can collide, so the corpus's
+distinct parts are checked: of the parts that share a surrogate, or whose surrogate is itself a real part, all but the
+first rightful owner draw again, from a name space that grows with the attempts, until none is left.  References to a
+person so stay together; within a text that holds for untitled mentions of a titled name's parts too.  Names that
+nothing in their text tells aren't found.
 """
 
 from __future__ import annotations
@@ -21,22 +24,28 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from ..scratch import ship
+from .common import BROADCAST_ROWS, discard, materialize
 
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f", "Mme": "f",
+    **dict.fromkeys(("my name is", "My name is", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "mi nombre es", "меня зовут", "Меня зовут", "με λένε", "Με λένε"), ""),
     "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Don": "m", "Doña": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
 #: A text without any of these has no title.
 TITLE_ROOTS = [t for t in TITLES if not any(t != u and u in t for u in TITLES)]
 _WORD = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+"
-NAME = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})(\.?[ ])({_WORD}(?:[ -]{_WORD}){{0,2}})(?![a-zß-öø-ÿά-ώа-яё])")
+_TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+_PART = rf"(?!(?:{_TITLE})(?:\.|\b)){_WORD}(?![a-zß-öø-ÿά-ώа-яё])"
+#: One title or several, and the parts of the name.
+NAME = re.compile(rf"\b((?:(?:{_TITLE})\.?[ ])+)({_PART}(?:[ -]{_PART}){{0,2}})")
 #: By type, in order of precedence: marks one of which any text with the type has, and the pattern.  Starts are
 #: anchored and repeats bounded, so that no run of characters is scanned again from each of its places.
 DETECTORS = {
@@ -57,6 +66,8 @@ DETECTORS = {
     ),
     "card": (None, re.compile(r"(?<![\w.\-])(?:\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{13,19})(?![\w\-])")),
     "ip": (None, re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
+    "iban": (None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    "ipv6": ((":",), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")),
     "ssn": (None, re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")),
 }
 DIGIT = re.compile("[0-9]")
@@ -162,10 +173,46 @@ def _digits(key: bytes, tweak: str, text: str, valid: Callable[[str], object]) -
     return "".join(next(new) if c.isdigit() else c for c in text)
 
 
+#: Country calling codes of one and two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def country_code(digits: str) -> str:
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 def _phone(key: bytes, text: str) -> str:
-    head = re.match(r"\+\d{1,3}(?=[ .\-(])|", text).group()
-    # a trunk 0 stays, as it tells a national number
-    return head + _digits(key, "phone", text[len(head) :], lambda s: s[:1] in "01" if head else (s[:1] == "0") + 2 * (s[:1] in "01"))
+    if text[0] != "+":
+        # a trunk 0 stays, as it tells a national number
+        return _digits(key, "phone", text, lambda s: (s[:1] == "0") + 2 * (s[:1] in "01"))
+    digits = "".join(c for c in text if c.isdigit())
+    code = country_code(digits)
+    new = iter(code + permute_text(key, "phone" + code, digits[len(code) :], lambda s: s[:1] in "01"))
+    return "".join(next(new) if c.isdigit() else c for c in text)
+
+
+def iban_sum(text: str) -> int:
+    """1 for a valid account number, without blanks."""
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def _iban(key: bytes, text: str) -> str:
+    whole = text.replace(" ", "")
+    body = permute_text(key, "iban" + whole[:2], whole[4:])
+    new = iter(f"{whole[:2]}{98 - iban_sum(whole[:2] + '00' + body):02d}{body}")
+    return "".join(c if c == " " else next(new) for c in text)
+
+
+def _surrogate_ipv6(key: bytes, text: str) -> str:
+    """The first group stays, which tells the class of the address; the rest is one number, however it is written."""
+    value, low = int(ipaddress.IPv6Address(text)), (1 << 112) - 1
+    out = ipaddress.IPv6Address(value & ~low | permute(key, f"ipv6{value >> 112}", value & low, 1 << 112))
+    if "::" in text:
+        told = str(out)
+    else:
+        long = all(len(g) == 4 for g in text.split(":"))
+        told = out.exploded if long else ":".join(g.lstrip("0") or "0" for g in out.exploded.split(":"))
+    return told.upper() if text != text.lower() else told
 
 
 def _email(key: bytes, text: str) -> str:
@@ -186,6 +233,10 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return text[0] + _digits(key, "card" + text[0], text[1:], lambda s: luhn(text[0] + s))
     if kind == "ip":
         return _surrogate_ip(key, text)
+    if kind == "ipv6":
+        return _surrogate_ipv6(key, text)
+    if kind == "iban":
+        return _iban(key, text)
     return permute_text(key, kind, text)
 
 
@@ -193,40 +244,77 @@ def _script(part: str) -> str:
     return "cyrillic" if re.match("[А-Яа-яЁё]", part) else "greek" if re.match("[Α-Ωά-ώ]", part) else "latin"
 
 
-def name_parts(title: str, name: str) -> list[tuple[str, str, str]]:
+def titled_gender(titles: str) -> str:
+    """What the first title tells that tells a gender: f, m or nothing."""
+    return next((g for t in re.findall(_TITLE, titles) if (g := TITLES[t])), "")
+
+
+def own_gender(part: str) -> str:
+    """What the ending of a given name tells of its gender, where no title does."""
+    if _script(part) == "greek":
+        return "f" if part[-1] in "αηάή" else "m"
+    if _script(part) == "cyrillic":
+        return "f" if part[-1] in "ая" else "m"
+    return "f" if part[-1] in "ae" else "m" if part[-1] in "orsnkdtlmf" else ""
+
+
+def name_parts(titles: str, name: str) -> list[tuple[str, str, str]]:
     """``kind, gender, part`` of each part of a name: all but the last are given names."""
     words = re.split("[ -]", name)
-    return [("given", TITLES[title], w) for w in words[:-1]] + [("family", "", words[-1])]
+    return [("given", titled_gender(titles), w) for w in words[:-1]] + [("family", "", words[-1])]
 
 
 def draw_name(key: bytes, kind: str, gender: str, part: str, attempt: int) -> str:
+    """A name for a part; each four attempts have names of a syllable more, so there is always one left."""
     syllables, ends = _SYLLABLES[_script(part)]
-    n, out = _prf(key, "name", kind, gender, part, attempt), []
-    for _ in range(3 if kind == "given" else 4):
+    n, out = _prf(key, "name", part, attempt), []
+    for _ in range((3 if kind == "given" else 4) + attempt // 4):
         n, at = divmod(n, len(syllables))
         out.append(syllables[at])
-    return "".join(out).capitalize() + (ends[gender][:1] if kind == "given" and len(ends[gender]) == 1 else ends[gender] if kind == "given" else "n" if _script(part) == "latin" else "")
+    return "".join(out).capitalize() + (ends[gender] if kind == "given" else "n" if _script(part) == "latin" else "")
 
 
 def names(text: str) -> Iterator[re.Match]:
     return NAME.finditer(text) if any(t in text for t in TITLE_ROOTS) else iter(())
 
 
-def name_places(text: str) -> list[tuple[int, int, list[tuple[str, str, str]]]]:
-    """``start, end, parts`` of the names after titles, then of all other places where one of their parts stands alone.
+def name_places(text: str) -> list[tuple[int, int]]:
+    """``start, end`` of the names after titles, then of all other places where one of their parts stands alone.
 
-    A part that is both a given and a family name goes by its first titled place; a genitive s may follow it.
+    A genitive s may follow such a part.
     """
-    titled = [(m.start(3), m.end(3), name_parts(m[1], m[3])) for m in names(text)]
+    titled = [m.span(2) for m in names(text)]
     if not titled:
         return []
-    known: dict[str, tuple[str, str, str]] = {}
-    for *_, parts in titled:
-        for p in parts:
-            known.setdefault(p[2], p)
+    known = {w for a, b in titled for w in re.split("[ -]", text[a:b])}
     alone = re.compile(rf"\b({'|'.join(sorted(map(re.escape, known), key=len, reverse=True))})(?=s?\b)")
-    inside = {i for a, b, _ in titled for i in range(a, b)}
-    return titled + [(m.start(), m.end(), [known[m[1]]]) for m in alone.finditer(text) if m.start() not in inside]
+    inside = {i for a, b in titled for i in range(a, b)}
+    return titled + [m.span(1) for m in alone.finditer(text) if m.start() not in inside]
+
+
+def _span(kind: str, text: str, m: re.Match) -> tuple[int, int] | None:
+    """Where the entity of a match really is; None where the match turns out to be none."""
+    a, b = m.span(m.re.groups)
+    if kind == "card":
+        # of 13 digits only Visa's are cards; most such numbers are times
+        digits = [c for c in text[a:b] if c.isdigit()]
+        return (a, b) if luhn(text[a:b]) and (len(digits) > 13 or digits[0] == "4") and len(set(digits)) > 1 else None
+    if kind == "phone" and text[a] == "+":
+        # a number behind the phone number isn't part of it: 15 digits are the most, 11 those of North America
+        most = 11 if text[a + 1] == "1" else 15
+        ends = [a + g.end() for g in re.finditer(r"\d+", text[a:b])]
+        return next(((a, e) for e in reversed(ends) if sum(c.isdigit() for c in text[a:e]) <= most), None)
+    if kind == "iban":
+        ends = [b, *(a + g.start() for g in re.finditer(" ", text[a:b]))]
+        return next(((a, e) for e in sorted(ends, reverse=True) if 15 <= len(w := text[a:e].replace(" ", "")) <= 34 and iban_sum(w) == 1), None)
+    if kind == "ipv6":
+        groups = [g for g in text[a:b].split(":") if g]
+        try:
+            ipaddress.IPv6Address(text[a:b])
+        except ValueError:
+            return None
+        return (a, b) if len(groups) > 1 and any(c.isdigit() for c in text[a:b]) else None
+    return a, b
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
@@ -238,8 +326,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     numbers, low = DIGIT.search(text) is not None, text.lower()
     for rank, (kind, (marks, pattern)) in enumerate(DETECTORS.items()):
         if numbers if marks is None or kind == "phone" else any(m in (low if kind == "secret" else text) for m in marks):
-            found += [(m.start(pattern.groups), rank, m.end(pattern.groups), kind) for m in pattern.finditer(text)]
-    found += [(a, len(DETECTORS), b, "name") for a, b, _ in name_places(text)]
+            found += [(span[0], rank, span[1], kind) for m in pattern.finditer(text) if (span := _span(kind, text, m))]
+    found += [(a, len(DETECTORS), b, "name") for a, b in name_places(text)]
     out, last = [], 0
     for a, _, b, kind in sorted(found):
         if a >= last:
@@ -248,15 +336,15 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str, str], int]) -> tuple[str, int]:
-    """``text`` with all entities replaced, and how many there were."""
+def rewrite(text: str, key: bytes, known: dict[str, str], names_only: bool = False) -> tuple[str, int]:
+    """``text`` with its entities replaced, and how many there were; parts of names that ``known`` lacks stay."""
     spans = entities(text)
-    told = {a: parts for a, _, parts in name_places(text)} if any(kind == "name" for *_, kind in spans) else {}
     out, at = [], 0
     for a, b, kind in spans:
         if kind == "name":
-            words = [draw_name(key, *p, redrawn.get(p, 0)) for p in told[a]]
-            word = words[0] + "".join(g + w for g, w in zip(re.findall("[ -]", text[a:b]), words[1:]))
+            word = re.sub(r"[^ -]+", lambda m: known.get(m[0], m[0]), text[a:b])
+        elif names_only:
+            continue
         else:
             word = surrogate(key, kind, text[a:b])
         out += [text[at:a], word]
@@ -264,64 +352,89 @@ def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str, str], int]) ->
     return "".join(out) + text[at:], len(spans)
 
 
-def name_collisions(docs: DataFrame, key: bytes, draw: Callable = draw_name) -> DataFrame:
-    """``kind, gender, part, attempt`` of the name parts that can't have their first surrogate.
-
-    Taken over the distinct parts of the whole corpus.  A surrogate belongs to the part that drew it with the fewest
-    attempts, then the least part; a surrogate that equals a real part belongs to nobody.
-    """
+def parts_of(docs: DataFrame) -> DataFrame:
+    """``part, kind, gender``: the distinct parts of the names of a corpus.  What most titled places tell counts."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({p for t in batch.column(0).to_pylist() if t for m in names(t) for p in name_parts(m[1], m[3])})
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in range(3)], names=["kind", "gender", "part"])
+            told: Counter = Counter(p for t in batch.column(0).to_pylist() if t for m in names(t) for p in name_parts(m[1], m[2]))
+            rows = [(*p, own_gender(p[2]), n) for p, n in sorted(told.items())]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.string()) for i in range(4)), pa.array([r[4] for r in rows], pa.int64())], names=["kind", "gender", "part", "own", "n"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(parts, "kind string, gender string, part string, own string, n bigint")
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    votes = found.groupBy("part").agg(of(F.col("kind") == "given").alias("given"), of(F.col("kind") == "family").alias("family"), of(F.col("gender") == "f").alias("f"), of(F.col("gender") == "m").alias("m"), F.min("own").alias("own"))
+    return votes.select("part", F.when(F.col("given") >= F.col("family"), "given").otherwise("family").alias("kind"), F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise(F.col("own")).alias("gender"))
+
+
+def name_surrogates(docs: DataFrame, key: bytes, draw: Callable = draw_name) -> DataFrame:
+    """``part, surrogate``: a surrogate of its own for each distinct part of the names of a corpus.
+
+    A surrogate belongs to the part that drew it with the fewest attempts, then the least part; one that equals a real
+    part belongs to nobody.  Whoever has none draws again.  By joins, for any number of parts.
+    """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([draw(key, *r) for r in rows], pa.string())], names=["kind", "gender", "part", "attempt", "surrogate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([draw(key, kind, gender, part, n) for part, kind, gender, n in rows], pa.string())], names=["part", "kind", "gender", "attempt", "surrogate"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(parts, "kind string, gender string, part string").distinct()
-    real = materialize(found, "names")
-    now = real.withColumn("attempt", F.lit(0))
+    real = materialize(parts_of(docs), "names")
+    now, last = real.withColumn("attempt", F.lit(0)), None
     while True:
-        tried = now.mapInArrow(drawn, "kind string, gender string, part string, attempt int, surrogate string")
-        owner = tried.groupBy("surrogate").agg(F.min(F.struct("attempt", "part", "kind", "gender")).alias("owner"), F.count("*").alias("n"))
-        taken = real.select(F.col("part").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+        tried = now.mapInArrow(drawn, "part string, kind string, gender string, attempt int, surrogate string")
+        owner = tried.groupBy("surrogate").agg(F.min(F.struct("attempt", "part")).alias("owner"))
+        taken = real.select(F.col("part").alias("surrogate"), F.lit(True).alias("real"))
         judged = tried.join(owner, "surrogate").join(taken, "surrogate", "left")
-        loses = F.col("real").isNotNull() | (F.col("owner") != F.struct("attempt", "part", "kind", "gender"))
-        now = materialize(judged.select("kind", "gender", "part", F.col("attempt") + loses.cast("int"), loses.alias("lost")).toDF("kind", "gender", "part", "attempt", "lost"), "draws")
-        if not now.filter("lost").limit(1).count():
-            return now.filter("attempt > 0").drop("lost")
-        now = now.drop("lost")
+        loses = F.col("real").isNotNull() | (F.col("owner.part") != F.col("part"))
+        done = materialize(judged.select("part", "kind", "gender", (F.col("attempt") + loses.cast("int")).alias("attempt"), loses.alias("lost"), "surrogate"), "draws")
+        if last is not None:
+            discard(last)
+        last = done
+        if not done.filter("lost").limit(1).count():
+            return done.select("part", "surrogate")
+        now = done.select("part", "kind", "gender", "attempt")
 
 
-def pseudonymise(docs: DataFrame, key: bytes, columns: tuple = ("doc_id",), draw: Callable = draw_name) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, columns: tuple = ("doc_id",), draw: Callable = draw_name, most: int = BROADCAST_ROWS) -> DataFrame:
     """Columns ``columns`` of ``docs``, then ``text`` with surrogates and ``n_entities``; one row for each row.
 
-    Null text stays null with 0 entities, empty text empty; texts without entities are unchanged.  Repeated rows are
-    rewritten alike, extra columns are ignored, ids may be null.  Two passes over the texts, neither shuffles them:
-    the first gathers the distinct parts of names for the collision check, the second rewrites.  The redrawn parts are
-    few by the size of the name space; more than can be broadcast are an error that asks for longer names.
+    Null text stays null with 0 entities, empty text empty; texts without entities are unchanged, very long ones are
+    rewritten whole.  Repeated rows are rewritten alike, extra columns are ignored, ids may be null, and an empty table
+    gives no rows.  Two passes over the texts, neither shuffles them: the first gathers the distinct parts of names, the
+    second rewrites.  No more than about ``most`` parts are broadcast at once: where a corpus has more, the parts are
+    split by hash and each share takes a pass of its own over the texts.
     """
-    lost = name_collisions(docs, key, draw).limit(BROADCAST_ROWS + 1).collect()
-    if len(lost) > BROADCAST_ROWS:
-        raise ValueError("too many names for this name space: draw longer names")
-    redrawn = {(r.kind, r.gender, r.part): r.attempt for r in lost}
+    table = name_surrogates(docs, key, draw)
+    shares = max(1, -(-table.count() // most))
     kept = [c for c in columns if c != "text"]
-    narrow = docs.select(*kept, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields) + ", n_entities int"
+    out = docs.select(*kept, F.col("text").cast("string").alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + ", n_entities int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [(None, 0) if t is None else rewrite(t, key, redrawn) for t in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=[*kept, "text", "n_entities"])
+    def share(of: DataFrame, k: int) -> DataFrame:
+        rows = table.filter(F.pmod(F.xxhash64("part"), F.lit(shares)) == k).collect()  # about ``most``
+        known = ship(docs.sparkSession, {r.part: r.surrogate for r in rows})
 
-    return narrow.mapInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names_known = known()
+            for batch in batches:
+                done = [(None, 0) if t is None else rewrite(t, key, names_known, k > 0) for t in batch.column(len(kept)).to_pylist()]
+                counts = batch.column(len(kept) + 1) if k else pa.array([d[1] for d in done], pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([d[0] for d in done], pa.string()), counts], names=[*kept, "text", "n_entities"])
+
+        return of.mapInArrow(run, schema)
+
+    for k in range(shares):
+        out = share(out, k)
+    return out
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
-    """The documents with surrogates; ``n_chars`` counts the new text, other columns and their order stay."""
+    """The documents with surrogates; ``n_chars`` counts the new text, other columns and their order stay.
+
+    Nulls, empty and long texts, repeated rows, empty tables and clashing columns: as in :func:`pseudonymise`; the
+    ``n_chars`` of a null text is null.
+    """
     place = {c: c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}  # no column can clash with n_entities
     done = pseudonymise(docs.toDF(*place.values()), key, tuple(place.values()))
     known = {c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(at) for c, at in place.items()}
