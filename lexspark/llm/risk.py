@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import measures
+from .common import BROADCAST_ROWS, materialize, measures
 
 RULES = ("symbols", "upper", "pipes", "repeats")
 #: Cutoffs of :data:`RULES` by level, lenient first.
@@ -78,11 +78,18 @@ def scored(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 def certify(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.1) -> DataFrame:
     """``stratum, level, n_good``: the strictest certified level of each stratum with good labels, 0 for none.
 
-    Only a narrow projection of the documents meets the labels.  Rows with null ids or labels don't count;
-    repeated rows count each time.
+    The unit is the document: one whose id has several labels is good if all are, and counts once; so does one of
+    several rows in a stratum, as the first level that rejects any of them.  Labels that are null, of a null id or of no
+    document don't count.  All labels are used.  Where the good ids are few enough to be broadcast, only labelled
+    documents are measured; otherwise a narrow projection of all documents meets them.
     """
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
-    per = scored(docs, stratum).select("doc_id", "stratum", "first_level").join(good, "doc_id")
+    good = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__good")).agg(F.min("quality").alias("q")).filter("q = 1").select("__good")
+    good = materialize(good, "good")
+    if good.count() <= BROADCAST_ROWS:
+        rows = scored(docs.join(F.broadcast(good), docs["doc_id"] == F.col("__good"), "left_semi"), stratum).select("doc_id", "stratum", "first_level")
+    else:
+        rows = scored(docs, stratum).select("doc_id", "stratum", "first_level").join(good, F.col("doc_id") == F.col("__good"), "left_semi")
+    per = rows.groupBy("doc_id", "stratum").agg(F.min("first_level").alias("first_level"))
     counts = per.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum((F.col("first_level") <= i + 1).cast("bigint")).alias(f"k{i + 1}") for i in range(len(LEVELS))])
     counts = counts.withColumn("m", F.count("*").over(W.partitionBy()))
 
@@ -113,8 +120,9 @@ def decide(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
     """One row for each document: ``doc_id, stratum, level, symbols, upper, pipes, repeats, keep``.
 
     ``keep`` is false where the certified level of the stratum rejects the document.  Null text counts as blank,
-    a null stratum as ``''``; extra columns are ignored and repeated rows stay; empty tables give empty results,
-    and without labels all documents are kept.
+    a null stratum as ``''``, a null id has no label; texts are measured whole, of any length, and a measure equal to a
+    cutoff doesn't reject; extra columns are ignored and repeated rows stay; empty tables give empty results, and without
+    labels all documents are kept.
     """
     cuts = certify(docs, labels, stratum, alpha, delta)
     rows, level = _level_of(scored(docs, stratum), cuts, F.col("stratum"))
@@ -122,7 +130,10 @@ def decide(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.1) -> DataFrame:
-    """``docs`` without those that :func:`decide` rejects, all columns unchanged; texts are never shuffled."""
+    """``docs`` without those that :func:`decide` rejects, all columns unchanged; texts are never shuffled.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and other columns: as there.
+    """
     cuts = certify(docs, labels, stratum, alpha, delta)
     known = {k: c for k, c in measures(F.col("text")).items() if k in RULES}
     rows, level = _level_of(docs, cuts, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
@@ -145,7 +156,8 @@ m AS (
     len(regexp_extract_all(t, '[|]'))::DOUBLE / greatest(len(w), 1)::DOUBLE AS pipes,
     1.0::DOUBLE - len(list_distinct(w))::DOUBLE / greatest(len(w), 1)::DOUBLE AS repeats FROM words),
 s AS (SELECT *, CASE {first} ELSE {len(LEVELS) + 1} END AS first_level FROM m),
-good AS (SELECT s.stratum, s.first_level FROM s JOIN labels l ON l.doc_id = s.doc_id WHERE l.quality = 1),
+g AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT s.doc_id, s.stratum, min(s.first_level) AS first_level FROM s JOIN g ON g.doc_id = s.doc_id GROUP BY s.doc_id, s.stratum),
 cnt AS (SELECT stratum, lvl, count(*) AS n, sum((first_level <= lvl)::INT) AS k FROM good, range(1, {len(LEVELS) + 1}) r(lvl) GROUP BY ALL),
 tail AS (SELECT stratum, lvl, list_sum(list_transform(range(0, (k + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95))))
                                <= 0.1 / (SELECT count(DISTINCT stratum) FROM good) AS ok FROM cnt),
