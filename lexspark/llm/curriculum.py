@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SQL_N_TOKENS, n_tokens, small_side
+from .common import SQL_N_TOKENS, materialize, n_tokens, small_side
 
 KNOTS = (0.0, 0.5, 1.0)
 #: Multipliers at the knots by source; the base weight of a source is its tokens to the power of ALPHA.
@@ -68,7 +68,8 @@ def assign(docs: DataFrame, knots: tuple = KNOTS, tilts: dict | None = None, def
 
     A null source counts as ``''``, a null id as ``''`` in the order, null text as 0 tokens; a document of 0 tokens
     takes a position where its turn comes; a source without tokens gets none.  Repeated rows take positions each.
-    Extra columns don't matter.  The running token sum is exact and two-level: sums of the buckets of each source
+    Very long texts count with all their tokens, an empty table gives no rows, and extra columns don't matter, whatever
+    their names.  The running token sum is exact and two-level: sums of the buckets of each source
     (a prefix of the MD5) first, then within a bucket, so no task holds a whole source.
     """
     bits, count = 0, docs.count()
@@ -78,12 +79,14 @@ def assign(docs: DataFrame, knots: tuple = KNOTS, tilts: dict | None = None, def
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(*[F.col(c).alias(f"__k_{c}") for c in taken], F.col("source").alias("__raw"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"), key.alias("__md5"), F.col("doc_id").alias("__id"), n_tokens(F.col("text")).alias("__n"))
     rows = rows.withColumn("__bucket", F.substring("__md5", 1, bits))
-    sums = rows.groupBy("__source", "__bucket").agg(F.sum("__n").alias("sum"))
+    if "__row" not in taken:
+        rows = materialize(rows, "lengths")  # narrow: tokens are counted once, and the sort at the end can sample what's there
+    sums = materialize(rows.groupBy("__source", "__bucket").agg(F.sum("__n").alias("sum")), "sums")
     ahead = W.partitionBy("__source").orderBy("__bucket")
     sums = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     sums = sums.withColumn("supply", F.sum("sum").over(W.partitionBy("__source")))
     want = targets(sums.groupBy("__source").agg(F.max("supply").alias("supply")), knots, tilts, default, alpha, budget)
-    offsets = sums.select("__source", "__bucket", "ahead").join(want, "__source")
+    offsets = materialize(sums.select("__source", "__bucket", "ahead").join(want, "__source"), "offsets")
     inside = W.partitionBy("__source", "__bucket").orderBy("__md5", "__id", "__n").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("__c", F.sum("__n").over(inside))
     placed = placed.join(small_side(offsets), ["__source", "__bucket"])
@@ -97,12 +100,16 @@ def assign(docs: DataFrame, knots: tuple = KNOTS, tilts: dict | None = None, def
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """:func:`assign`, range-sorted by position, then id and copy."""
+    """:func:`assign`, range-sorted by position, then id and copy.  Texts are read once, and never shuffled."""
     return assign(docs, **how).orderBy("position", "doc_id", "copy")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents with all their columns, in training order; a document of several copies is several rows."""
+    """The documents with all their columns, in training order; a document of several copies is several rows.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and other columns: see :func:`assign`.  Written as it
+    comes, the table keeps the order: by number of the file, then by row (:func:`.packing.stored_order`).
+    """
     whole = docs.select("doc_id", "source", "text", F.struct("*").alias("__row"))  # names of other columns can't clash
     return assign(whole, keep=("doc_id", "__row"), **how).orderBy("position", "doc_id", "copy").select("__row.*")
 
