@@ -2,17 +2,20 @@
 
 Calls and results are rows with an identifier.  A hash join links them within a conversation: the n-th call of an
 identifier with the n-th result of it.  The calls of a conversation are put in topological order of the calls they
-name in ``after`` (ties and calls on a cycle go by ``seq``), their arguments are validated against the schema of their tool, and
-everything is written as canonical JSON: sorted keys, no blanks, UTF-8 without escapes that JSON doesn't ask for.
+name in ``after`` (ties and calls on a cycle go by ``seq``), their arguments are validated against the JSON schema of
+their tool, and everything is written as canonical JSON by RFC 8785: keys in the order of their UTF-16 code units, no
+blanks, numbers as ECMAScript writes the nearest double, no escapes that JSON doesn't ask for.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,48 +33,202 @@ SILENT = frozenset({"set_context"})
 CALL, RESULT = r"(?s)<tool_call>(.*?)</tool_call>", r"(?s)<tool_result>(.*?)</tool_result>"
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: Keywords of a schema that say nothing of a value.
+_NOTES = frozenset("title description default examples deprecated readOnly writeOnly $schema $id $comment $defs definitions".split())
+_FORMATS = {
+    "date": r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])", "time": r"(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?(?:[Zz]|[+\-]\d\d:\d\d)?",
+    "email": r"[^@\s]+@[^@\s]+", "uuid": r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "uri": r"[A-Za-z][A-Za-z0-9+.\-]*:\S*",
+    "ipv4": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)",
+}
+_FORMATS["date-time"] = rf"{_FORMATS['date']}[Tt]{_FORMATS['time']}"
+
+
+class BadSchema(ValueError):
+    """A schema with a keyword, type, format or reference that isn't known, so that nothing is called valid unread."""
+
+
+def _number(value: object) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
 
 
 def _is(value: object, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return not isinstance(value, bool) and (isinstance(value, int) or isinstance(value, float) and (kind == "number" or value.is_integer()))
+        return _number(value) and (isinstance(value, int) or kind == "number" or value.is_integer())
     return isinstance(value, _TYPES[kind])
 
 
-def violations(value: object, schema: dict, path: str = "$") -> list[str]:
-    """What of ``value`` breaks ``schema``: type, enum, const, bounds, lengths, pattern, items, properties, required."""
+def same(a: object, b: object) -> bool:
+    """Equality of JSON values: 1 and 1.0 are equal, 1 and true aren't."""
+    if isinstance(a, dict):
+        return isinstance(b, dict) and a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list):
+        return isinstance(b, list) and len(a) == len(b) and all(map(same, a, b))
+    return a == b and _number(a) == _number(b) and isinstance(a, bool) == isinstance(b, bool)
+
+
+def _target(ref: str, root: object) -> object:
+    if not ref.startswith("#"):
+        raise BadSchema(f"a reference out of the schema: {ref!r}")
+    for step in ref[1:].split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        if isinstance(root, list) and step.isdigit() and int(step) < len(root):
+            root = root[int(step)]
+        elif isinstance(root, dict) and step in root:
+            root = root[step]
+        else:
+            raise BadSchema(f"a reference to nothing: {ref!r}")
+    return root
+
+
+def _multiple(value: float, of: float) -> bool:
+    return (Decimal(repr(value)) % Decimal(repr(of))) == 0
+
+
+#: For keywords of one kind of value: the test that fails.
+_BOUNDS = {
+    "minimum": lambda v, m: v < m, "maximum": lambda v, m: v > m, "exclusiveMinimum": lambda v, m: v <= m, "exclusiveMaximum": lambda v, m: v >= m, "multipleOf": lambda v, m: not _multiple(v, m),
+    "minLength": lambda v, m: len(v) < m, "maxLength": lambda v, m: len(v) > m, "pattern": lambda v, m: not re.search(m, v), "format": lambda v, m: not re.fullmatch(_FORMATS[m], v),
+    "minItems": lambda v, m: len(v) < m, "maxItems": lambda v, m: len(v) > m, "uniqueItems": lambda v, m: m and len({canonical(x) for x in v}) < len(v),
+    "minProperties": lambda v, m: len(v) < m, "maxProperties": lambda v, m: len(v) > m,
+}
+_OF_NUMBER, _OF_TEXT, _OF_LIST, _OF_OBJECT = (tuple(list(_BOUNDS)[a:b]) for a, b in ((0, 5), (5, 9), (9, 12), (12, 14)))
+#: Keywords that hold a schema, a list of schemas, and schemas by name.
+_ONE, _MANY, _NAMED = ("not", "items", "contains", "additionalProperties", "propertyNames", "if", "then", "else"), ("anyOf", "allOf", "oneOf", "prefixItems"), ("properties", "patternProperties", "$defs", "definitions", "dependentSchemas")
+_KNOWN = _NOTES | {*_BOUNDS, *_ONE, *_MANY, *_NAMED, "type", "enum", "const", "required", "dependentRequired", "$ref", "minContains", "maxContains"}
+
+
+def check_schema(schema: object, root: object = None, path: str = "#") -> None:
+    """Raise :class:`BadSchema` for what :func:`violations` doesn't know."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise BadSchema(f"{path}: no schema")
+    if unknown := sorted(set(schema) - _KNOWN):
+        raise BadSchema(f"{path}: unknown keyword {unknown[0]!r}")
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in (*_TYPES, "integer", "number"):
+            raise BadSchema(f"{path}: unknown type {kind!r}")
+    if "format" in schema and schema["format"] not in _FORMATS:
+        raise BadSchema(f"{path}: unknown format {schema['format']!r}")
+    if "$ref" in schema:
+        _target(schema["$ref"], root)
+    for k in _ONE:
+        if k in schema:
+            check_schema(schema[k], root, f"{path}/{k}")
+    for k in (*_MANY, *_NAMED):
+        for name, part in enumerate(schema[k]) if isinstance(schema.get(k), list) else schema.get(k, {}).items():
+            check_schema(part, root, f"{path}/{k}/{name}")
+
+
+def violations(value: object, schema: dict | bool, path: str = "$", root: object = None) -> list[str]:
+    """What of ``value`` breaks ``schema``, each as place and keyword.  Schemas are checked first (:func:`check_schema`)."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: false"]
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{path}: type"]
-    out = [f"{path}: {k}" for k, ok in (("enum", "enum" not in schema or value in schema["enum"]), ("const", "const" not in schema or value == schema["const"])) if not ok]
-    if _is(value, "number"):
-        out += [f"{path}: {k}" for k, bad in (("minimum", lambda m: value < m), ("maximum", lambda m: value > m)) if k in schema and bad(schema[k])]
-    if isinstance(value, str):
-        out += [f"{path}: {k}" for k, bad in (("minLength", lambda m: len(value) < m), ("maxLength", lambda m: len(value) > m), ("pattern", lambda m: not re.search(m, value))) if k in schema and bad(schema[k])]
+    ok = lambda part, v=value: not violations(v, part, path, root)
+    out = []
+    if "$ref" in schema:
+        out += violations(value, _target(schema["$ref"], root), path, root)
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
+        out.append(f"{path}: enum")
+    if "const" in schema and not same(value, schema["const"]):
+        out.append(f"{path}: const")
+    for part in schema.get("allOf", ()):
+        out += violations(value, part, path, root)
+    if "anyOf" in schema and not any(map(ok, schema["anyOf"])):
+        out.append(f"{path}: anyOf")
+    if "oneOf" in schema and sum(map(ok, schema["oneOf"])) != 1:
+        out.append(f"{path}: oneOf")
+    if "not" in schema and ok(schema["not"]):
+        out.append(f"{path}: not")
+    if "if" in schema and (branch := "then" if ok(schema["if"]) else "else") in schema:
+        out += violations(value, schema[branch], path, root)
+    bounds = _OF_NUMBER if _number(value) else _OF_TEXT if isinstance(value, str) else _OF_LIST if isinstance(value, list) else _OF_OBJECT if isinstance(value, dict) else ()
+    out += [f"{path}: {k}" for k in bounds if k in schema and _BOUNDS[k](value, schema[k])]
     if isinstance(value, list):
-        out += [f"{path}: {k}" for k, bad in (("minItems", lambda m: len(value) < m), ("maxItems", lambda m: len(value) > m)) if k in schema and bad(schema[k])]
-        out += [v for i, x in enumerate(value) if "items" in schema for v in violations(x, schema["items"], f"{path}[{i}]")]
+        first = schema.get("prefixItems", ())
+        for i, x in enumerate(value):
+            if i < len(first):
+                out += violations(x, first[i], f"{path}[{i}]", root)
+            elif "items" in schema:
+                out += violations(x, schema["items"], f"{path}[{i}]", root)
+        if "contains" in schema:
+            n = sum(ok(schema["contains"], x) for x in value)
+            if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
+                out.append(f"{path}: contains")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{path}.{k}: required" for k in schema.get("required", ()) if k not in value]
+        out += [f"{path}.{k}: required" for of, names in schema.get("dependentRequired", {}).items() if of in value for k in names if k not in value]
+        for of, part in schema.get("dependentSchemas", {}).items():
+            out += violations(value, part, path, root) if of in value else []
         for k in sorted(value):
-            if k in known:
-                out += violations(value[k], known[k], f"{path}.{k}")
-            elif schema.get("additionalProperties", True) is False:
-                out.append(f"{path}.{k}: additional")
+            if "propertyNames" in schema and not ok(schema["propertyNames"], k):
+                out.append(f"{path}.{k}: propertyNames")
+            matching = [part for pattern, part in patterns.items() if re.search(pattern, k)]
+            for part in [*([known[k]] if k in known else []), *matching]:
+                out += violations(value[k], part, f"{path}.{k}", root)
+            if k not in known and not matching and "additionalProperties" in schema:
+                rest = schema["additionalProperties"]
+                out += [f"{path}.{k}: additional"] if rest is False else violations(value[k], rest, f"{path}.{k}", root)
     return out
 
 
+def number(value: float) -> str:
+    """A number as ECMAScript writes it; integers are doubles like all numbers of JSON."""
+    if isinstance(value, int):
+        if abs(value) <= 1 << 53:
+            return str(value)
+        value = float(value)  # an OverflowError beyond all doubles
+    if not math.isfinite(value):
+        raise ValueError("no number of JSON")
+    if not value:
+        return "0"
+    sign, figures, exponent = Decimal(repr(value)).normalize().as_tuple()
+    d, point = "".join(map(str, figures)), len(figures) + exponent
+    if len(d) <= point <= 21:
+        d += "0" * (point - len(d))
+    elif 0 < point <= 21:
+        d = f"{d[:point]}.{d[point:]}"
+    elif -6 < point <= 0:
+        d = f"0.{'0' * -point}{d}"
+    else:
+        d = f"{d[0]}{'.' * (len(d) > 1)}{d[1:]}e{point - 1:+d}"
+    return "-" * sign + d
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Canonical JSON by RFC 8785.  A lone surrogate is a ValueError, as are NaN and infinities."""
+    if isinstance(value, str):
+        value.encode()
+        return json.dumps(value, ensure_ascii=False)
+    if value is None or isinstance(value, bool):
+        return "null" if value is None else "true" if value else "false"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(v)}" for k, v in sorted(value.items(), key=lambda r: r[0].encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    return number(value)
 
 
 def _refuse(word: str) -> None:
     raise ValueError(word)
 
 
+def _object(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
 def _load(text: str | None) -> object:
-    return json.loads(text, parse_constant=_refuse) if text is not None else None
+    return json.loads(text, parse_constant=_refuse, object_pairs_hook=_object) if text is not None else None
 
 
 def order(ids: list[str | None], after: list[list[str]], seq: list[tuple]) -> tuple[list[int], set[int]]:
@@ -116,11 +273,8 @@ def render(conversation: object, rows: list[dict], schemas: dict = SCHEMAS, sile
         try:
             arguments = _load(r["arguments"])
             errors = violations(arguments, schemas[r["name"]]) if r["name"] in schemas else ["unknown tool"]
-        except (ValueError, RecursionError):
-            arguments, errors = r["arguments"], ["not JSON"]
-        try:
             canonical(arguments)
-        except (ValueError, RecursionError):
+        except (ValueError, RecursionError, OverflowError):
             arguments, errors = r["arguments"], ["not JSON"]
         invalid += bool(errors)
         answered = r["result_seq"] is not None
@@ -146,19 +300,28 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None, sile
     """One row for each conversation, :data:`SCHEMA`.
 
     ``calls``: ``conv_id, call_id, seq, name, arguments`` (JSON text) ``, after`` (array of call ids).
-    ``results``: ``conv_id, call_id, seq, content``.  Null call ids link to nothing; null conversation ids are one
-    conversation; null arguments are JSON's null, and a null name is an unknown tool.  Of rows with equal ids and
-    ``seq`` the order goes by their text; equal rows are all kept.  Extra columns are ignored.
+    ``results``: ``conv_id, call_id, seq, content``.  Null call ids link to nothing.  Rows with a null conversation id
+    belong to no conversation: each is told in a row of its own, and links to nothing.  Null arguments are JSON's null, a
+    null name is an unknown tool, and arguments that name a key twice are no JSON.  Of rows with equal ids and ``seq`` the
+    order goes by their text; equal rows are all kept.  Long texts are kept whole; empty tables give no rows; extra columns
+    are ignored.  A schema with a keyword that isn't known is a :class:`BadSchema` at once.
     """
     schemas = SCHEMAS if schemas is None else schemas
+    for schema in schemas.values():
+        check_schema(schema)
     nth = lambda *by: F.row_number().over(W.partitionBy("conv_id", "call_id").orderBy("seq", *by))
-    left = calls.select("conv_id", "call_id", "seq", "name", "arguments", "after", nth("name", "arguments").alias("nth"), F.lit(True).alias("is_call"))
-    right = results.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("seq").alias("result_seq"), "content", nth("content").alias("r_nth"))
-    same = F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("nth") == F.col("r_nth"))
-    joined = left.hint("shuffle_hash").join(right.hint("shuffle_hash"), same, "full_outer")
+    asked, told = calls.select("conv_id", "call_id", "seq", "name", "arguments", "after"), results.select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content")
+    left = asked.filter("conv_id IS NOT NULL").withColumn("nth", nth("name", "arguments")).withColumn("is_call", F.lit(True))
+    right = told.filter("conv_id IS NOT NULL").withColumnRenamed("result_seq", "seq").withColumn("r_nth", nth("content")).select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("seq").alias("result_seq"), "content", "r_nth")
+    equal = (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("nth") == F.col("r_nth"))
+    joined = left.hint("shuffle_hash").join(right.hint("shuffle_hash"), equal, "full_outer")
     found = F.coalesce(F.col("is_call"), F.lit(False))
-    rows = joined.select(F.when(found, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), F.struct(found.alias("is_call"), F.coalesce("call_id", "r_id").alias("call_id"), "seq", "name", "arguments", "after", "result_seq", "content").alias("row"))
+    row = lambda is_call, call_id: F.struct(is_call.alias("is_call"), call_id.alias("call_id"), "seq", "name", "arguments", "after", "result_seq", "content").alias("row")
+    rows = joined.select(F.when(found, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), row(found, F.coalesce("call_id", "r_id")))
     grouped = rows.groupBy("conv_id").agg(F.collect_list("row").alias("rows"))
+    # rows of no conversation aren't gathered
+    alone = asked.filter("conv_id IS NULL").withColumn("is_call", F.lit(True)).unionByName(told.filter("conv_id IS NULL").withColumn("is_call", F.lit(False)), allowMissingColumns=True)
+    grouped = grouped.unionByName(alone.select("conv_id", F.array(row(F.col("is_call"), F.col("call_id"))).alias("rows")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,11 +341,13 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     system's turn calls ``set_context``.  A turn of role ``tool`` or ``function`` is the result of the oldest earlier
     marked-up call that waits for one (it has an id, and no marked-up result), or an orphan; with marked-up results in
     it only what else it says is told, as an orphan.  Turns of any other role, or of none, are orphans, so each turn is
-    told and each conversation has a row.  Null turns count as -1.
+    told and each conversation has a row.  Null turns count as -1, turns without a conversation stand alone.
     """
     said = messages.select("conv_id", F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("seq"), F.lower("role").alias("role"), F.col("text").cast("string").alias("text"))
     before = W.partitionBy("conv_id").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
-    said = said.withColumn("asked", F.max(F.when(F.col("role") == "user", F.col("seq"))).over(before))
+    asked_before = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(before)
+    # turns of no conversation have none before them, and aren't brought together
+    said = said.filter("conv_id IS NOT NULL").withColumn("asked", asked_before).unionByName(said.filter("conv_id IS NULL").withColumn("asked", F.lit(None).cast("bigint")))
     name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("turn-"), F.col(c).cast("string")))
     spoken = said.filter(F.col("role").isin("user", "system")).select(
         "conv_id", name("seq").alias("call_id"), "seq", F.when(F.col("role") == "user", "reply").otherwise("set_context").alias("name"),
@@ -203,13 +368,14 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _tool_turns(said: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results told by tool and function turns, which answer waiting calls first in, first out."""
     none = lambda kind: F.lit(None).cast(kind)
-    turns = said.filter("role IN ('tool', 'function')").select("conv_id", "seq", "text", F.regexp_like(F.coalesce("text", F.lit("")), F.lit(RESULT)).alias("marked"))
+    turns = said.filter("role IN ('tool', 'function')").select("conv_id", F.col("seq"), "text", F.regexp_like(F.coalesce("text", F.lit("")), F.lit(RESULT)).alias("marked"))
     rest = turns.filter("marked").select("conv_id", none("string").alias("call_id"), "seq", F.regexp_replace("text", F.lit(RESULT), F.lit("")).alias("content")).filter(F.trim("content") != "")
-    plain = turns.filter("NOT marked").select("conv_id", "seq", F.lit(0).alias("nth"), none("string").alias("call_id"), F.lit("turn").alias("kind"), F.col("text").alias("content"))
+    lone = turns.filter("NOT marked AND conv_id IS NULL").select("conv_id", none("string").alias("call_id"), "seq", F.col("text").alias("content"))
+    plain = turns.filter("NOT marked AND conv_id IS NOT NULL").select("conv_id", "seq", F.lit(0).alias("nth"), none("string").alias("call_id"), F.lit("turn").alias("kind"), F.col("text").alias("content"))
     asked = calls.select("conv_id", "seq", "nth", "call_id", F.lit("call").alias("kind"), none("string").alias("content"))
     told = results.select("conv_id", "seq", F.lit(0).alias("nth"), "call_id", F.lit("result").alias("kind"), none("string").alias("content"))
     answered = F.max(F.col("kind") == "result").over(W.partitionBy("conv_id", "call_id"))
-    events = plain.unionByName(asked.unionByName(told).filter("call_id IS NOT NULL").withColumn("answered", answered).filter("kind = 'call' AND NOT answered").drop("answered"))
+    events = plain.unionByName(asked.unionByName(told).filter("call_id IS NOT NULL AND conv_id IS NOT NULL").withColumn("answered", answered).filter("kind = 'call' AND NOT answered").drop("answered"))
     within = W.partitionBy("conv_id")
     waiting = F.coalesce(F.sum((F.col("kind") == "call").cast("int")).over(within.orderBy("seq").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
     # the k-th turn, before which c calls came: k + min(0, least of c - j up to j = k) turns have an answered call by then
@@ -217,10 +383,14 @@ def _tool_turns(said: DataFrame, calls: DataFrame, results: DataFrame) -> DataFr
     low = lambda to: F.coalesce(F.least(F.lit(0), F.min(F.col("c") - F.col("k")).over(within.orderBy("k").rowsBetween(W.unboundedPreceding, to))), F.lit(0))
     met = numbered.filter("kind = 'turn'").withColumn("m", F.col("k") + low(0)).withColumn("m0", F.col("k") - 1 + low(-1))
     queue = numbered.filter("kind = 'call'").select(F.col("conv_id").alias("q_conv"), F.col("k").alias("q"), F.col("call_id").alias("q_id"))
-    same = F.col("conv_id").eqNullSafe(F.col("q_conv")) & (F.when(F.col("m") > F.col("m0"), F.col("m")) == F.col("q"))
-    return rest.unionByName(met.join(queue, same, "left").select("conv_id", F.col("q_id").alias("call_id"), "seq", "content"))
+    same = (F.col("conv_id") == F.col("q_conv")) & (F.when(F.col("m") > F.col("m0"), F.col("m")) == F.col("q"))
+    return rest.unionByName(lone).unionByName(met.join(queue, same, "left").select("conv_id", F.col("q_id").alias("call_id"), "seq", "content"))
 
 
 def format_chats(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
-    """:func:`link` over :func:`from_messages`."""
+    """:func:`link` over :func:`from_messages`, a row for each conversation and for each turn without one.
+
+    Nulls, empty and long texts, ties, repeated turns, empty tables and extra columns: as told there.  A conversation is
+    one row, so it is gathered in one task; turns that belong to none aren't.
+    """
     return link(*from_messages(messages), schemas)
