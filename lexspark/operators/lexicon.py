@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..scratch import gather
+from ..scratch import ModelTooLarge, gather, materialize
 
 USER_ID_START = 0x40000000
 DEFAULT_COST = 6.0
@@ -90,16 +90,24 @@ def resolve(system: DataFrame, user: DataFrame) -> DataFrame:
     return both.select("word", F.coalesce("sys_id", "user_id").alias("term_id"), F.when(F.col("user_id").isNotNull() & own, F.col("user_cost")).otherwise(F.col("sys_cost")).alias("cost"))
 
 
-def matches(sents: DataFrame, lexicon: DataFrame, keys: tuple = ("doc_id", "sent_id"), most_tokens: int = 8) -> DataFrame:
-    """``keys, start, n_tokens, word, term_id``: all places where up to ``most_tokens`` tokens spell a word of the lexicon.
+def matches(sents: DataFrame, lexicon: DataFrame, keys: tuple = ("doc_id", "sent_id"), extra: tuple = ()) -> DataFrame:
+    """``keys, start, n_tokens, word, term_id``, then the columns ``extra`` of the lexicon: all places where tokens spell
+    a word of the lexicon, however many tokens it has.  ``sents`` has an array ``tokens``.
 
-    An equi-join on the spelling, so that the lexicon may be of any size.  ``sents`` has an array ``tokens``.
+    Only equi-joins, so that the lexicon may be of any size.  Single tokens are looked up as they are.  Longer words are
+    spelled only where their first two tokens stand, and only as far as the longest word that begins with these goes.
     """
-    t = F.col("tokens.token")
-    longest = F.lit(most_tokens)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size(t)), lambda i: F.transform(F.sequence(F.lit(1), F.least(longest, F.size(t) - i + 1)), lambda n: F.struct((i - 1).alias("start"), n.alias("n_tokens"), F.array_join(F.slice(t, i, n), "").alias("word")))))
-    spelled = sents.filter(F.size("tokens") > 0).select(*keys, F.explode(grams).alias("g")).select(*keys, "g.start", "g.n_tokens", "g.word")
-    return spelled.join(lexicon.select("word", "term_id"), "word").select(*keys, "start", "n_tokens", "word", "term_id")
+    held = materialize(sents.select(*keys, F.col("tokens.token").alias("t")).withColumn("__sent", F.monotonically_increasing_id()), "sentences")
+    wanted = lexicon.select("word", "term_id", *extra)
+    one = held.select(*keys, F.posexplode("t").alias("start", "word")).join(wanted, "word")
+    lexed = lexicon.select("word", T.lex(F.col("word")).alias("w")).filter(F.size("w") > 1)
+    reach = lexed.groupBy(F.concat(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("pair")).agg(F.max(F.size("w")).alias("longest"))
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda x, y: F.concat(x, y))
+    met = held.filter(F.size("t") > 1).select("__sent", F.posexplode(pairs).alias("start", "pair")).join(reach, "pair")
+    places = met.groupBy("__sent").agg(F.collect_list(F.struct("start", "longest")).alias("p"))  # at most one for each token of a sentence
+    ends = F.flatten(F.transform("p", lambda p: F.transform(F.sequence(F.lit(2), F.least(p["longest"], F.size("t") - p["start"])), lambda n: F.struct(p["start"].alias("start"), n.alias("n_tokens"), F.array_join(F.slice("t", p["start"] + 1, n), "").alias("word")))))
+    more = held.join(places, "__sent").select(*keys, F.explode(ends).alias("g")).select(*keys, "g.start", "g.n_tokens", "g.word").join(wanted, "word")
+    return one.withColumn("n_tokens", F.lit(1)).select(*keys, "start", "n_tokens", "word", "term_id", *extra).unionByName(more.select(*keys, "start", "n_tokens", "word", "term_id", *extra))
 
 
 def unknown_tokens(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -111,8 +119,8 @@ def unknown_tokens(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 def prefixes(lexicon: DataFrame, keys: DataFrame, column: str = "prefix") -> DataFrame:
     """``prefix, n_words, is_word``: how many words begin with each of the given prefixes; equi-joins by prefix length."""
     wanted = keys.select(column).distinct()
-    lengths = [n for (n,) in gather(wanted.select(F.length(column).alias("n")).distinct(), 10_000)]
-    cut = lexicon.select("word", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("n")).filter(F.length("word") >= F.col("n"))
+    lengths = wanted.agg(F.collect_set(F.length(column)).alias("__lengths"))  # one row
+    cut = lexicon.select("word").crossJoin(F.broadcast(lengths)).select("word", F.explode("__lengths").alias("n")).filter(F.length("word") >= F.col("n"))
     found = cut.select(F.left("word", F.col("n")).alias(column), F.col("word")).groupBy(column).agg(F.count("*").alias("n_words"), F.max((F.col("word") == F.col(column)).cast("int")).alias("hit"))
     joined = wanted.join(found, column, "left")
     return joined.select(column, F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), (F.coalesce("hit", F.lit(0)) == 1).alias("is_word"))
@@ -152,3 +160,46 @@ class Lexicon:
         """From tables, whose sizes are checked (:func:`..scratch.gather`)."""
         three = ("word", "term_id", "cost")
         return cls.build(gather(system.select(*three)), gather(user.select(*three)) if user is not None else (), gather(bigrams.select("left_id", "right_id", "cost")) if bigrams is not None else None)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What the segmenter needs, as tables of any size: for each sentence only what it holds is brought to it.
+
+    ``words`` is ``word, term_id, cost, own`` (``own``: the cost that the system dictionary alone gives, null for words
+    of the user), ``bigrams`` is ``left_id, right_id, cost``.
+    """
+
+    words: DataFrame
+    bigrams: DataFrame | None
+
+    @classmethod
+    def of(cls, system: DataFrame, user: DataFrame | None = None, bigrams: DataFrame | None = None) -> Tables:
+        own = system.select(F.col("word").alias("__w"), F.col("cost").alias("own"))
+        words = system.select("word", "term_id", "cost") if user is None else resolve(system, user)
+        return cls(words.join(own, F.col("word") == F.col("__w"), "left").select("word", "term_id", "cost", "own"), bigrams)
+
+    def local(self, sents: DataFrame) -> DataFrame:
+        """``__row, words, pairs`` of sentences with ``__row`` and ``tokens``: the words and bigrams that each may use."""
+        found = materialize(matches(sents, self.words, ("__row",), ("cost", "own")), "edges")
+        told = found.groupBy("__row").agg(F.collect_set(F.struct("word", "term_id", "cost", "own")).alias("words"))
+        if self.bigrams is None:
+            return told.withColumn("pairs", F.lit(None).cast("array<struct<left_id:bigint,right_id:bigint,cost:double>>"))
+        # unknown words and the beginning of a sentence have the id 0, which is in no bigram
+        left = found.select("__row", (F.col("start") + F.col("n_tokens")).alias("at"), F.col("term_id").alias("left_id"))
+        right = found.select("__row", F.col("start").alias("at"), F.col("term_id").alias("right_id"))
+        met = left.join(right, ["__row", "at"]).select("__row", "left_id", "right_id").distinct()
+        known = met.join(self.bigrams.select("left_id", "right_id", "cost"), ["left_id", "right_id"])
+        pairs = known.groupBy("__row").agg(F.collect_list(F.struct("left_id", "right_id", "cost")).alias("pairs"))
+        return told.join(pairs, "__row", "left").select("__row", "words", F.coalesce("pairs", F.array().cast("array<struct<left_id:bigint,right_id:bigint,cost:double>>")).alias("pairs"))
+
+
+def load(system: DataFrame, user: DataFrame | None = None, bigrams: DataFrame | None = None) -> Lexicon | Tables:
+    """Dictionaries that every executor gets where a count shows them to be small, otherwise tables that are joined.
+
+    Results are the same.
+    """
+    try:
+        return Lexicon.load(system, user, bigrams)
+    except ModelTooLarge:
+        return Tables.of(system, user, bigrams)

@@ -14,9 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..scratch import ship
+from ..scratch import materialize, ship
 from .crf import Crf
-from .lexicon import Lexicon
+from .lexicon import Lexicon, Tables
 
 UNKNOWN_COST = 20.0
 OOV_ID, NO_ID = -1, -2
@@ -240,30 +240,71 @@ def _named(words: list[Word]) -> list[dict]:
     return [{"word": w, "n_tokens": n, "word_type": t, "term_id": i} for w, n, t, i in words]
 
 
-def segment(sents: DataFrame, method: str, lexicon: Lexicon | None = None, crf: Crf | None = None, properties: dict[str, int] | None = None) -> DataFrame:
+def _decoder(method: str, lexicon: Lexicon | None, crf: Crf | None, properties: dict):
+    """The function from tokens and types of a sentence to its words."""
+    if method == "unigram":
+        plain = Lexicon(lexicon.index, lexicon.costs, lexicon.unigram, None)
+        return lambda tokens, types: lattice(tokens, types, plain, 1)
+    if method == "bigram":
+        return lambda tokens, types: lattice(tokens, types, lexicon, 3)
+    if method == "crf":
+        return lambda tokens, types: tagged_words(tokens, types, crf)
+    return lambda tokens, types: mixed_words(tokens, types, lexicon, 3, crf, properties)
+
+
+def segment(sents: DataFrame, method: str, lexicon: Lexicon | Tables | None = None, crf: Crf | None = None, properties: dict[str, int] | None = None) -> DataFrame:
     """``sents`` with ``words`` instead of ``tokens``.  ``method``: unigram, bigram, crf or mixed.
 
-    Models are broadcast once; what builds them checks their size.  An empty sentence has no words.
+    Models are broadcast once; what builds them checks their size.  A lexicon of tables is joined instead.  An empty
+    sentence has no words.
     """
     need = {"unigram": (lexicon,), "bigram": (lexicon,), "crf": (crf,), "mixed": (lexicon, crf)}
     if method not in need or any(m is None for m in need[method]):
         raise ValueError(f"no models for the segmenter {method!r}" if method in need else f"no segmenter {method!r}")
+    if isinstance(lexicon, Tables) and method != "crf":
+        return _joined(sents, method, lexicon, crf, properties or {})
     shared = ship(sents.sparkSession, (lexicon, crf, properties or {}))
 
     def decode():
-        lex, tagger, props = shared()
-        if method == "unigram":
-            plain = Lexicon(lex.index, lex.costs, lex.unigram, None)
-            return lambda tokens, types: _named(lattice(tokens, types, plain, 1))
-        if method == "bigram":
-            return lambda tokens, types: _named(lattice(tokens, types, lex, 3))
-        if method == "crf":
-            return lambda tokens, types: _named(tagged_words(tokens, types, tagger))
-        return lambda tokens, types: _named(mixed_words(tokens, types, lex, 3, tagger, props))
+        one = _decoder(method, *shared())
+        return lambda tokens, types: _named(one(tokens, types))
 
     return per_sentence(sents, decode, "words", WORDS, _WORDS)
 
 
+def _joined(sents: DataFrame, method: str, tables: Tables, crf: Crf | None, properties: dict) -> DataFrame:
+    """:func:`segment` with the words and bigrams of each sentence brought to it by joins."""
+    shared = ship(sents.sparkSession, (crf, properties))
+    kept = [c for c in sents.columns if c != "tokens"]
+    held = materialize(sents.select(*kept, "tokens").withColumn("__row", F.monotonically_increasing_id()), "sentences")
+    if method == "unigram":
+        tables = Tables(tables.words, None)
+    both = held.join(tables.local(held), "__row", "left").drop("__row")
+    both = both.select(*kept, F.struct("tokens", "words", "pairs").alias("__s"))
+
+    def split(column: pa.StructArray) -> Iterator[tuple]:
+        told = zip(split_sentences(column.field(0)), column.field(1).to_pylist(), column.field(2).to_pylist())
+        for (tokens, types), words, pairs in told:
+            yield tokens, types, words or [], pairs or []
+
+    def decode():
+        tagger, props = shared()
+
+        def one(tokens, types, words, pairs):
+            index = {w["word"]: w["term_id"] for w in words}
+            for w in words:
+                head = ""
+                for token in T.py_lex(w["word"])[:-1]:
+                    head += token
+                    index.setdefault(head, -1)
+            own = Lexicon(index, {w["word"]: w["cost"] for w in words}, {w["term_id"]: w["own"] for w in words if w["own"] is not None}, {(p["left_id"], p["right_id"]): p["cost"] for p in pairs} if method != "unigram" else None)
+            return _named(_decoder(method, own, tagger, props)(tokens, types))
+
+        return one
+
+    return per_sentence(both, decode, "words", WORDS, _WORDS, "__s", split)
+
+
 def exploded(segmented: DataFrame, keys: tuple = ("doc_id", "sent_id")) -> DataFrame:
     """``keys, idx, word, n_tokens, word_type, term_id``: a row for each word."""
     return segmented.select(*keys, F.posexplode("words").alias("idx", "w")).select(*keys, "idx", "w.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..scratch import gather, ship
+from ..scratch import gather, materialize, ship
 from .crf import Crf, sentence_features
 from .segment import per_sentence
 
@@ -43,7 +43,8 @@ def transitions_of(sents: DataFrame) -> DataFrame:
     """:func:`transitions` from an array ``tags`` for each sentence; nothing but counts is shuffled."""
     bos = F.array(F.lit(BOS))
     pairs = sents.filter(F.size("tags") > 0).select(F.explode(F.arrays_zip(F.concat(bos, "tags").alias("left"), F.concat("tags", bos).alias("right"))).alias("p"))
-    counts = pairs.select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n"))
+    # a row for each pair of tags: written once, all else is derived from it
+    counts = materialize(pairs.select("p.left", "p.right").groupBy("left", "right").agg(F.count("*").alias("n")), "pairs")
     ends = counts.groupBy("left").agg(F.sum("n").alias("of"))
     size = ends.agg(F.count("*").cast("double").alias("y"))
     grid = ends.crossJoin(F.broadcast(ends.select(F.col("left").alias("right")))).crossJoin(F.broadcast(size))  # tag sets are small

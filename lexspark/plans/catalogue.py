@@ -12,15 +12,15 @@ from ..functions import text as T
 from ..operators import crf, lexicon, parse, perceptron, segment, tag, tokenizer
 from ..options import Options
 from ..pipeline import Models, Pipeline
-from ..scratch import spread
+from ..scratch import materialize, spread
 from ..sources import formats
 from ..streaming import tokens as stream
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: Least count of a word in lexicons that are broadcast.
-LEAST_COUNT = 2
+#: A token is unknown to a dictionary that holds the words seen at least so often: those seen once are told as unknown.
+KNOWN_COUNT = 2
 
 
 def query(sql: str | None = None):
@@ -129,7 +129,9 @@ def conll_output(spark, sf):
 
 @query(f"""WITH {_sql_tokens('documents', 'doc_id, lang')} SELECT doc_id, lang, type, count(*)::BIGINT AS n FROM tk GROUP BY doc_id, lang, type""")
 def stream_tokens(spark, sf):
-    return stream.drain(stream.token_types(stream.read_table(spark, sf, "documents")), "stream-tokens")
+    # a table of one file is one task's; over all cores it is lexed at once
+    docs = stream.read_table(spark, sf, "documents").select("doc_id", "lang", "text").repartition(spark.sparkContext.defaultParallelism)
+    return stream.drain(stream.token_types(docs), "stream-tokens")
 
 
 # --- lexicons
@@ -139,9 +141,8 @@ _UNIGRAM_SQL = f"""uw AS (SELECT unnest({_WORDS_SQL}) AS word FROM documents), u
 um AS (SELECT word, n, row_number() OVER (ORDER BY encode(word)) AS term_id, 0.0::DOUBLE - ln(n::DOUBLE / (sum(n) OVER ())::DOUBLE) AS cost FROM uc)"""
 
 
-def _unigrams(spark, sf, least: int = 1) -> DataFrame:
-    counts = lexicon.word_counts(table(spark, sf, "documents"))
-    return lexicon.unigram_model(counts.filter(F.col("count") >= least) if least > 1 else counts)
+def _unigrams(spark, sf) -> DataFrame:
+    return lexicon.unigram_model(lexicon.word_counts(table(spark, sf, "documents")))
 
 
 @query(f"WITH {_UNIGRAM_SQL} SELECT word, term_id::BIGINT AS term_id, round(cost, 9) AS cost FROM um")
@@ -149,15 +150,11 @@ def unigram_model(spark, sf):
     return _unigrams(spark, sf).withColumn("cost", F.round("cost", 9))
 
 
-_FREQUENT_SQL = f"""uw AS (SELECT unnest({_WORDS_SQL}) AS word FROM documents), uc AS (SELECT word, count(*) AS n FROM uw GROUP BY word HAVING count(*) >= {LEAST_COUNT}),
-um AS (SELECT word, row_number() OVER (ORDER BY encode(word)) AS term_id, 0.0::DOUBLE - ln(n::DOUBLE / (sum(n) OVER ())::DOUBLE) AS cost FROM uc)"""
-
-
-@query(f"""WITH {_FREQUENT_SQL}, l AS (SELECT {_WORDS_SQL} AS w FROM documents), p AS (SELECT unnest(w[:-2]) AS l, unnest(w[2:]) AS r FROM l WHERE len(w) > 1),
+@query(f"""WITH {_UNIGRAM_SQL}, l AS (SELECT {_WORDS_SQL} AS w FROM documents), p AS (SELECT unnest(w[:-2]) AS l, unnest(w[2:]) AS r FROM l WHERE len(w) > 1),
 c AS (SELECT l, r, count(*) AS n FROM p GROUP BY l, r), t AS (SELECT sum(n)::DOUBLE AS total FROM c)
-SELECT a.term_id::BIGINT AS left_id, b.term_id::BIGINT AS right_id, round(0.0::DOUBLE - ln(n::DOUBLE / total), 9) AS cost FROM c JOIN um a ON a.word = l JOIN um b ON b.word = r, t""")
+SELECT a.term_id::BIGINT AS left_id, b.term_id::BIGINT AS right_id, round(0.0::DOUBLE - ln(c.n::DOUBLE / total), 9) AS cost FROM c JOIN um a ON a.word = l JOIN um b ON b.word = r, t""")
 def bigram_model(spark, sf):
-    return lexicon.bigram_model(lexicon.pair_counts(table(spark, sf, "documents")), _unigrams(spark, sf, LEAST_COUNT)).withColumn("cost", F.round("cost", 9))
+    return lexicon.bigram_model(lexicon.pair_counts(table(spark, sf, "documents")), _unigrams(spark, sf)).withColumn("cost", F.round("cost", 9))
 
 
 def _lines(spark, text: str) -> DataFrame:
@@ -180,19 +177,19 @@ def user_cost_resolution(spark, sf):
     return lexicon.resolve(_unigrams(spark, sf), lexicon.user_dictionary(_lines(spark, X.USER_DICTIONARY))).withColumn("cost", F.round("cost", 9))
 
 
-_GRAMS = [" || ".join(["token", *[f"lead(token, {i}) OVER s" for i in range(1, n)]]) for n in range(1, 9)]
-
-
-@query(f"""WITH {CHAT_TOKENS}, {_UNIGRAM_SQL}, g AS (SELECT conv_id, turn, sent_id, idx, [{', '.join(_GRAMS)}] AS w FROM st WINDOW s AS (PARTITION BY conv_id, turn, sent_id ORDER BY idx)),
-e AS (SELECT conv_id, turn, sent_id, idx, generate_subscripts(w, 1) AS n_tokens, unnest(w) AS word FROM g)
-SELECT conv_id, turn, sent_id::INT AS sent_id, idx::INT AS start, n_tokens::INT AS n_tokens, e.word, um.term_id::BIGINT AS term_id FROM e JOIN um ON um.word = e.word""")
+# every run of tokens that is no longer than the longest word, in characters and without another bound
+@query(f"""WITH RECURSIVE {CHAT_TOKENS}, {_UNIGRAM_SQL}, ml AS (SELECT max(length(word)) AS most FROM um),
+g AS (SELECT conv_id, turn, sent_id, idx, 1 AS n_tokens, token AS word FROM st
+      UNION ALL SELECT g.conv_id, g.turn, g.sent_id, g.idx, n_tokens + 1, g.word || st.token FROM g, ml JOIN st ON st.conv_id = g.conv_id AND st.turn = g.turn AND st.sent_id = g.sent_id AND st.idx = g.idx + g.n_tokens
+      WHERE length(g.word) + length(st.token) <= most AND NOT regexp_matches(st.token, '^[ \t\r\n]'))
+SELECT conv_id, turn, sent_id::INT AS sent_id, idx::INT AS start, n_tokens::INT AS n_tokens, g.word, um.term_id::BIGINT AS term_id FROM g JOIN um ON um.word = g.word""")
 def dictionary_match(spark, sf):
     return lexicon.matches(tokenizer.sentences(table(spark, sf, "conversations"), CHAT), _unigrams(spark, sf), (*CHAT, "sent_id"))
 
 
-@query(f"WITH {DOC_TOKENS}, {_FREQUENT_SQL} SELECT token, count(*)::BIGINT AS n FROM tk WHERE type NOT IN (1, 3) AND NOT EXISTS (SELECT 1 FROM um WHERE um.word = tk.token) GROUP BY token")
+@query(f"WITH {DOC_TOKENS}, {_UNIGRAM_SQL} SELECT token, count(*)::BIGINT AS n FROM tk WHERE type NOT IN (1, 3) AND NOT EXISTS (SELECT 1 FROM uc WHERE uc.word = tk.token AND uc.n >= {KNOWN_COUNT}) GROUP BY token")
 def oov_tokens(spark, sf):
-    words = lexicon.word_counts(table(spark, sf, "documents")).filter(F.col("count") >= LEAST_COUNT)
+    words = lexicon.word_counts(table(spark, sf, "documents")).filter(F.col("count") >= KNOWN_COUNT)
     return lexicon.unknown_tokens(tokenizer.tokens(table(spark, sf, "documents")), words)
 
 
@@ -209,24 +206,63 @@ def _segment_crf() -> crf.Crf:
     return crf.Crf.build(list(X.SEGMENT_CRF), list(X.SEGMENT_TEMPLATES))
 
 
-def _lexicon(spark, sf, bigrams: bool) -> lexicon.Lexicon:
-    one = _unigrams(spark, sf, LEAST_COUNT)
-    pairs = lexicon.bigram_model(lexicon.pair_counts(table(spark, sf, "documents")).filter(F.col("count") >= LEAST_COUNT), one) if bigrams else None
-    return lexicon.Lexicon.load(one, lexicon.user_dictionary(_lines(spark, X.USER_DICTIONARY)), pairs)
+def _lexicon(spark, sf, bigrams: bool) -> lexicon.Lexicon | lexicon.Tables:
+    """All words and pairs of the documents; costs are rounded, so that they are the same wherever they are computed."""
+    rounded = lambda df: materialize(df.withColumn("cost", F.round("cost", 9)), "model")
+    one = rounded(_unigrams(spark, sf))
+    pairs = rounded(lexicon.bigram_model(lexicon.pair_counts(table(spark, sf, "documents")), one)) if bigrams else None
+    return lexicon.load(one, lexicon.user_dictionary(_lines(spark, X.USER_DICTIONARY)), pairs)
 
 
-def _segmented(spark, sf, method: str, source: str = "documents", keys: tuple = ("doc_id",)) -> DataFrame:
-    lex = _lexicon(spark, sf, method != "unigram") if method != "crf" else None
-    return segment.segment(tokenizer.sentences(table(spark, sf, source), keys), method, lex, _segment_crf(), dict(X.OOV_PROPERTIES))
+_CN_PIECES = ", ".join("'" + p + "'" for p in X.CHINESE_PIECES)
+#: The documents, and texts of mixed script that the tables lack, with negative ids.
+_MIXED_SQL = f"""mx AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - i, list_aggregate(list_transform(range(0, 3 + i % 29), lambda j: ([{_CN_PIECES}])[1 + (i * 31 + j * 17 + (i * j) % 7 + (j * j) % 5) % {len(X.CHINESE_PIECES)}]), 'string_agg', '')
+  FROM range(0, {X.CHINESE_TEXTS}) r(i))"""
+
+
+def mixed_script(spark, sf) -> DataFrame:
+    """``doc_id, text`` of the documents and of CHINESE_TEXTS generated texts, mostly Chinese."""
+    i, n = F.col("id"), len(X.CHINESE_PIECES)
+    pieces = F.array(*map(F.lit, X.CHINESE_PIECES))
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), i % 29 + 2), lambda j: F.get(pieces, ((i * 31 + j * 17 + (i * j) % 7 + (j * j) % 5) % n).cast("int")))
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.range(X.CHINESE_TEXTS).select((F.lit(-1) - i).alias("doc_id"), F.array_join(parts, "").alias("text")))
 
 
 def segment_query(method: str, spark, sf):
-    return segment.exploded(_segmented(spark, sf, method))
+    lex = _lexicon(spark, sf, method != "unigram") if method != "crf" else None
+    done = segment.segment(tokenizer.sentences(mixed_script(spark, sf)), method, lex, _segment_crf(), dict(X.OOV_PROPERTIES))
+    return segment.exploded(done)
 
 
 for _method in ("unigram", "bigram", "crf", "mixed"):
     QUERIES[f"segment_{_method}"] = partial(segment_query, _method)
 
+_MIXED_TOKENS = f"{_MIXED_SQL}, {_sql_tokens('mx', 'doc_id')}"
+_SEGMENTED = "doc_id, sent_id::INT AS sent_id, (row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY start) - 1)::INT AS idx, word, n_tokens::INT AS n_tokens, word_type::INT AS word_type, term_id::BIGINT AS term_id"
+_TAGS = ("B", "B1", "B2", "E", "M", "S")
+_pair_weight = {(x, y): w for f, x, y, w in X.SEGMENT_CRF if f == "b"}
+_list = lambda values: "[" + ", ".join(values) + "]"
+#: Weights of steps between tags; 9 marks those that may not be.
+_STEPS = _list(_list(f"{_pair_weight.get((x, y), 0.0)}::DOUBLE" for y in _TAGS) for x in _TAGS)
+_MOVES = _list(_list(str(y in segment.FOLLOWS[x]).lower() for y in _TAGS) for x in _TAGS)
+_OWN = "CASE token " + " ".join(f"WHEN '{c}' THEN {_list(str(float(sum(w for f, _, y, w in X.SEGMENT_CRF if f == 'u:' + c and y == t))) + '::DOUBLE' for t in _TAGS)}" for c in sorted({f[2:] for f, *_ in X.SEGMENT_CRF if f != "b"})) + " ELSE [0.0::DOUBLE, 0, 0, 0, 0, 0] END"
+# vt: best score of each tag at each place of a run of Chinese tokens, and the tags on the way there
+ORACLE_SQL["segment_crf"] = f"""WITH RECURSIVE {_MIXED_TOKENS},
+zh AS (SELECT doc_id, sent_id, idx, token, idx - row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY idx) AS run, {_OWN} AS own FROM st WHERE type = 2),
+zr AS (SELECT doc_id, sent_id, run, min(idx) AS a, max(idx) AS b FROM zh GROUP BY doc_id, sent_id, run),
+vt AS (SELECT doc_id, sent_id, run, a AS idx, list_transform(range(1, 7), lambda y: CASE WHEN a = 0 OR ({_MOVES})[6][y] THEN ({_STEPS})[6][y] + own[y] ELSE -1e37::DOUBLE END) AS score, list_transform(range(1, 7), lambda y: [y]) AS way
+       FROM zr JOIN zh USING (doc_id, sent_id, run) WHERE idx = a
+       UNION ALL SELECT doc_id, sent_id, run, idx, list_transform(range(1, 7), lambda y: list_max(c[y]) + own[y]), list_transform(range(1, 7), lambda y: way[list_position(c[y], list_max(c[y]))] || [y]) FROM (
+         SELECT zh.doc_id, zh.sent_id, zh.run, zh.idx, own, way, list_transform(range(1, 7), lambda y: list_transform(range(1, 7), lambda x: CASE WHEN ({_MOVES})[x][y] THEN score[x] + ({_STEPS})[x][y] ELSE -1e37::DOUBLE END)) AS c
+         FROM vt JOIN zh ON zh.doc_id = vt.doc_id AND zh.sent_id = vt.sent_id AND zh.run = vt.run AND zh.idx = vt.idx + 1)),
+ve AS (SELECT doc_id, sent_id, a, way, list_transform(range(1, 7), lambda x: CASE WHEN ({_MOVES})[x][6] THEN score[x] + ({_STEPS})[x][6] ELSE -1e37::DOUBLE END) AS c FROM vt JOIN zr USING (doc_id, sent_id, run) WHERE idx = b),
+vp AS (SELECT doc_id, sent_id, a, way[list_position(c, list_max(c))] AS path FROM ve),
+tg AS (SELECT doc_id, sent_id, a + generate_subscripts(path, 1) - 1 AS idx, unnest(path) AS tag FROM vp),
+al AS (SELECT st.doc_id, st.sent_id, st.idx, token, type, coalesce(tag, 6) AS tag FROM st LEFT JOIN tg ON tg.doc_id = st.doc_id AND tg.sent_id = st.sent_id AND tg.idx = st.idx),
+wd AS (SELECT *, coalesce(sum((tag IN (4, 6))::INT) OVER (PARTITION BY doc_id, sent_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w FROM al),
+wo AS (SELECT doc_id, sent_id, min(idx) AS start, string_agg(token, '' ORDER BY idx) AS word, count(*) AS n_tokens, CASE WHEN max(tag) = 6 AND count(*) = 1 THEN min({_WORD_TYPE_SQL}) ELSE 0 END AS word_type, -2 AS term_id FROM wd GROUP BY doc_id, sent_id, w)
+SELECT {_SEGMENTED} FROM wo"""
+
 _OOV = f"{_sql_values(X.OOV_WORDS, 'w(sent_id, idx, word, n_tokens, word_type)')} LEFT JOIN {_sql_values(X.OOV_PROPERTIES, 'p(word, property)')} ON p.word = w.word"
 _FLAGS_SQL = f"""op AS (SELECT sent_id, idx, w.word, CASE WHEN n_tokens = 1 AND word_type = 0 THEN coalesce(property, -1) END AS p FROM {_OOV}),
 fl AS (SELECT sent_id, idx, word, (CASE WHEN p = 3 THEN 2 WHEN p IN (-1, 1, 2) THEN 1 WHEN lag(p) OVER s = 1 OR lead(p) OVER s = 2 THEN 1 ELSE 0 END)::INT AS flag FROM op WINDOW s AS (PARTITION BY sent_id ORDER BY idx))"""
@@ -417,7 +453,15 @@ def attachment_scores(spark, sf):
     return parse.attachment_scores(gold.join(values(spark, X.PREDICTED, "sent int, idx int, head int, label string"), ["sent", "idx"], "left"))
 
 
-@query()
+# t: stack, words to come and last action of each sentence after each step
+@query(f"""WITH RECURSIVE {_TREE_SQL}, tl AS (SELECT sent, list(head ORDER BY idx) AS heads, list(label ORDER BY idx) AS labels FROM tt GROUP BY sent),
+t AS (SELECT sent, 0 AS step, [0] AS stack, range(1, len(heads) + 1) AS todo, heads, labels, NULL::VARCHAR AS action FROM tl
+  UNION ALL SELECT sent, step + 1,
+    CASE kind WHEN 's' THEN stack || [todo[1]] ELSE stack[:-2] END, CASE kind WHEN 's' THEN todo[2:] WHEN 'r' THEN [stack[-1]] || todo[2:] WHEN 'l' THEN todo ELSE [] END, heads, labels,
+    CASE kind WHEN 's' THEN 'shift' WHEN 'l' THEN 'leftarc_' || labels[stack[-1]] WHEN 'r' THEN 'rightarc_' || labels[todo[1]] ELSE 'reduce' END
+  FROM (SELECT *, CASE WHEN len(todo) = 0 THEN 'x' WHEN len(stack) > 0 AND stack[-1] > 0 AND heads[stack[-1]] = todo[1] THEN 'l'
+      WHEN len(stack) > 0 AND todo[1] > 0 AND heads[todo[1]] = stack[-1] AND len(list_filter(todo, lambda i: i > 0 AND heads[i] = todo[1])) = 0 THEN 'r' ELSE 's' END AS kind FROM t WHERE len(todo) > 0 OR len(stack) > 1))
+SELECT sent, (step - 1)::INT AS step, action FROM t WHERE step > 0""")
 def oracle_transitions(spark, sf):
     return parse.oracle(formats.tree_rows(_treebank(spark)))
 
@@ -475,7 +519,20 @@ def gbk_words(spark, sf):
     return values(spark, [(w,) for w, _ in X.GBK_WORDS], "word string").select("word", F.hex(T.to_gbk(F.col("word"))).alias("hex"))
 
 
-@query()
+def _gbk_class() -> str:
+    """A character class of all characters beyond ASCII that GBK has."""
+    known = [c for c in range(128, 0x10000) if not 0xD800 <= c < 0xE000 and chr(c).encode("gbk", "ignore")]
+    runs: list[list[int]] = []
+    for c in known:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+@query(rf"""WITH k AS (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS narrow, regexp_replace(text, '[^{_gbk_class()}]', '', 'g') AS wide FROM documents)
+SELECT doc_id, (length(narrow) + 2 * length(wide))::INT AS n_bytes, length(narrow) + length(wide) = length(text) AS same FROM k""")
 def gbk_roundtrip(spark, sf):
     """Documents through GBK and back: bytes, and whether nothing was lost."""
     data = table(spark, sf, "documents").select("doc_id", "text", T.to_gbk(F.col("text")).alias("gbk"))

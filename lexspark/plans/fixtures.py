@@ -49,3 +49,6 @@ LISTED_TEMPLATES = ("u00:%x[0,0]", "u01:%x[-1,0]/%x[0,0]", "u02:%x[2,0]", "u03:%
 PREFIXES = ("th", "de", "a", "zzzz", "un")
 CLASSIFIER = (("t=6", "word", 1.0), ("t=6", "mark", -0.5), ("t=7", "mark", 2.0), ("t=9", "mark", 1.5), ("len=1", "mark", 0.25), ("len=2", "short", 1.25), ("len=3", "short", 0.75), ("w=the", "word", 1.5), ("w=de", "word", 0.5), ("t=1", "space", 3.0), ("t=3", "space", 3.0))
 GBK_WORDS = (("我的猫", "CED2B5C4C3A8"), ("abc", "616263"), ("", ""), ("a😀b", "6162"))
+#: Pieces of the generated texts of mixed script, and how many texts there are.
+CHINESE_PIECES = ("小", "猫", "帆", "小猫", "海风号", "晴雨表", "一同", "阿明", "的", "号", "7", "abc", "。", "驶", "明天", "，", "the ", "小小", "帆船", "水", "阿", "3.5", "喜欢")
+CHINESE_TEXTS = 4_000

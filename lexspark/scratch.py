@@ -10,8 +10,8 @@ import weakref
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Most rows of a model table that is gathered and sent to executors.
-MODEL_ROWS = 2_000_000
+#: Most rows of a model table that is gathered and sent to executors: some 100 MB in each Python worker.
+MODEL_ROWS = 500_000
 
 
 class ModelTooLarge(ValueError):
@@ -74,7 +74,7 @@ def gather(df: DataFrame, most: int = MODEL_ROWS) -> list[tuple]:
     """The rows of a model table on the driver; one of more than ``most`` rows is an error, never cut."""
     rows = df.limit(most + 1).toPandas()
     if len(rows) > most:
-        raise ModelTooLarge(f"more than {most} model rows: raise the least count of words, or the limit")
+        raise ModelTooLarge(f"more than {most} model rows")
     return list(rows.itertuples(index=False, name=None))
 
 

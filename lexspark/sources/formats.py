@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Most words of a line of a tagged corpus.
-CORPUS_WORDS = 1024
-
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """``path, line_no, value`` of text files; ``encoding`` may be GBK.
@@ -31,10 +28,10 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def tagged_corpus(lines: DataFrame, keys: tuple = ("line_no",), value: str = "value") -> DataFrame:
     """``keys, idx, word, tag`` of lines ``word_TAG word_TAG``: cut at the last underscore; items without one are left out.
 
-    ``idx`` counts from 0 what is kept; the first CORPUS_WORDS of a line count, as a sentence has no more.
+    ``idx`` counts from 0 what is kept, however long the line is.
     """
     items = F.filter(F.split(T.trim(F.col(value)), " +"), lambda x: x.contains("_"))
-    rows = lines.select(*keys, F.posexplode(F.slice(items, 1, CORPUS_WORDS)).alias("idx", "item"))
+    rows = lines.select(*keys, F.posexplode(items).alias("idx", "item"))
     return rows.select(*keys, "idx", F.regexp_extract("item", r"(?s)^(.*)_([^_]*)$", 1).alias("word"), F.regexp_extract("item", r"(?s)^(.*)_([^_]*)$", 2).alias("tag"))
 
 

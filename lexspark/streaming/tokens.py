@@ -28,6 +28,7 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 def token_types(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, type, n``: token types of each document of a stream, without state."""
     kinds = F.transform(tokenizer.T.lex(F.col("text")), tokenizer.T.token_type)
-    each = docs.select("doc_id", "lang", kinds.alias("kinds"))
+    # exploding an array of one element computes what it holds once, however often it is used then
+    each = docs.select("doc_id", "lang", F.explode(F.array(kinds)).alias("kinds"))
     found = each.select("doc_id", "lang", "kinds", F.explode(F.array_distinct("kinds")).alias("type"))
     return found.select("doc_id", "lang", "type", F.aggregate("kinds", F.lit(0).cast("bigint"), lambda n, k: n + (k == F.col("type")).cast("bigint")).alias("n"))

@@ -7,8 +7,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexspark.functions import text as T
-from lexspark.operators import parse, segment, tag
+from lexspark.operators import lexicon, parse, segment, tag
 from lexspark.operators.crf import Crf
 from lexspark.operators.lexicon import Lexicon
 from lexspark.operators.perceptron import Perceptron
@@ -264,3 +266,22 @@ def test_averaging():
         p.samples += 1
     p.average()
     assert {(f, y): round(w, 6) for f, y, w in p.rows()} == {("f", "a"): round(-1 + 1 - 1 / 3, 6), ("f", "b"): round(1 - 1 + 1 / 3, 6), ("g", "a"): round(1 - 1 - 1 / 3 + 2 / 3, 6), ("g", "b"): round(-1 + 1 + 1 / 3 - 2 / 3, 6)}
+
+
+@pytest.mark.parametrize("method", ["unigram", "bigram", "mixed"])
+def test_lexicons_of_tables_give_the_same(spark, method):
+    """Words and bigrams that are joined to each sentence, and dictionaries that every worker has."""
+    from lexspark.plans import catalogue, fixtures
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(-1, "小猫和晴雨表。海风号 and the 海风号, x1-y2 小帆"), (-2, ""), (-3, None)], "doc_id bigint, text string"))
+    sents = catalogue.tokenizer.sentences(docs)
+    words = lexicon.unigram_model(lexicon.word_counts(docs)).withColumn("cost", F.round("cost", 9))
+    pairs = lexicon.bigram_model(lexicon.pair_counts(docs), words).withColumn("cost", F.round("cost", 9))
+    user = lexicon.user_dictionary(catalogue._lines(spark, fixtures.USER_DICTIONARY))
+    got = []
+    for lex in (lexicon.Lexicon.load(words, user, pairs), lexicon.Tables.of(words, user, pairs)):
+        done = segment.segment(sents, method, lex, catalogue._segment_crf(), dict(fixtures.OOV_PROPERTIES))
+        got.append(sorted(map(str, done.select("doc_id", "sent_id", "words").collect())))
+    assert got[0] == got[1] and len(got[0]) > 300
+    assert isinstance(lexicon.load(words, user, pairs), lexicon.Lexicon)
