@@ -319,6 +319,14 @@ def attachment_scores(pairs: DataFrame) -> DataFrame:
     return kept.agg(F.count("*").alias("total"), share(head).alias("uas"), share(head & (F.col("gold_label") == F.col("label"))).alias("las"))
 
 
+def evaluate(trees: DataFrame, method: str, model: Perceptron, templates: Iterable[str] = TEMPLATES, beam: int = BEAM) -> DataFrame:
+    """``total, uas, las`` of a parser on ``words, tags, heads, labels`` of sentences, with the tags that are given."""
+    gold = trees.select(F.transform("words", lambda w: F.struct(w.alias("word"))).alias("words"), "tags", F.col("heads").alias("__heads"), F.col("labels").alias("__labels"))
+    done = parse(gold, method, model, templates, beam)
+    zipped = F.arrays_zip(F.col("tags").alias("tag"), F.col("__heads").alias("gold_head"), F.col("__labels").alias("gold_label"), F.col("tree.heads").alias("head"), F.col("tree.labels").alias("label"))
+    return attachment_scores(done.select(F.explode(zipped).alias("z")).select("z.*"))
+
+
 def oracle(trees: DataFrame) -> DataFrame:
     """``sent, step, action`` of a table ``sent, heads, labels``."""
     rows = trees.select("sent", F.struct(F.col("heads").alias("w"), F.col("labels").alias("t")).alias("tree"))

@@ -186,3 +186,18 @@ def accuracy(pairs: DataFrame, by: tuple = ()) -> DataFrame:
     hit = (F.col("gold") == F.col("predicted")).cast("bigint")
     out = pairs.groupBy(*by).agg(F.coalesce(F.sum(hit), F.lit(0)).alias("correct"), F.count("*").alias("total"))
     return out.withColumn("accuracy", F.round(F.try_divide(F.col("correct").cast("double"), F.col("total").cast("double")), 9))
+
+
+def corpus_words(corpus: DataFrame, keys: tuple = ("line_no",)) -> DataFrame:
+    """``keys, words, gold`` of rows ``keys, idx, word, tag``: words as a segmenter gives them, and their tags."""
+    lexed = T.lex(F.col("word"))
+    kind = F.when(F.size(lexed) > 1, F.lit(T.WORD_CHINESE)).otherwise(T.word_type(T.token_type(F.col("word"))))
+    word = F.struct("word", F.greatest(F.size(lexed), F.lit(1)).alias("n_tokens"), kind.alias("word_type"), F.lit(None).cast("bigint").alias("term_id"))
+    rows = corpus.select(*keys, F.struct("idx", word.alias("w"), "tag").alias("s")).groupBy(*keys).agg(F.array_sort(F.transform(F.collect_list("s"), lambda s: F.struct(s["idx"].alias("idx"), s["w"].alias("w"), s["tag"].alias("tag")))).alias("s"))
+    return rows.select(*keys, F.col("s.w").alias("words"), F.col("s.tag").alias("gold"))
+
+
+def evaluate(corpus: DataFrame, method: str, hmm: Hmm | None = None, crf: Crf | None = None, keys: tuple = ("line_no",)) -> DataFrame:
+    """``correct, total, accuracy`` of a tagger on a tagged corpus ``keys, idx, word, tag``, its words taken as they are."""
+    done = tag(corpus_words(corpus, keys), method, hmm, crf)
+    return accuracy(done.select(F.explode(F.arrays_zip(F.col("gold").alias("gold"), F.col("tags").alias("predicted"))).alias("p")).select("p.*"))
