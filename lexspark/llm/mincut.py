@@ -7,7 +7,8 @@ where labels differ.  A minimum cut separates content from boilerplate.  Capacit
 of several minimum cuts the one with the least content is taken.
 
 The classifier is trained here, on a bounded sample of pages in which the ancestors tell the label (``article`` or
-``main`` against ``nav``, ``header``, ``footer``, ``aside`` and ads); its measures don't see those ancestors.
+``main`` against ``nav``, ``header``, ``footer``, ``aside`` and ads); its measures don't see those ancestors, so it also
+serves pages without such elements.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SCALE = 1_000
 ADJACENT, SIBLING = 0.9, 0.7
 HINT_GOOD, HINT_BAD = 2.0, 2.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)([^<>]*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?>[^<>"']+|"[^"<]*"|'[^'<]*'|["'])*+)>|[^<]+|<""", re.S)
 #: Elements without text of the page, and their ends; a title counts in the head only.
 _SKIPPED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "title")}
 #: What may stand in a head; any other tag, and text, ends it.
@@ -288,7 +289,9 @@ def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> np.ndarray:
 def extract_pages(pages: DataFrame, weights: np.ndarray) -> DataFrame:
     """``page_id, n_blocks, n_content, text``, one row for each row; null, empty and textless pages give 0, 0, ``''``.
 
-    Ids may be null, repeated rows are done each, other columns are ignored.  Nothing is shuffled.
+    Ids may be null, repeated rows are done each, an empty table gives no rows, other columns are ignored, whatever
+    their names.  Very long pages are cut as a whole; of equal cuts the one with the least content is taken.  Nothing is
+    shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
