@@ -140,9 +140,11 @@ def fit(x: np.ndarray, y: np.ndarray, features: tuple = FEATURES, n_bins: int =
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Gam:
     """Fit on at most ``train_rows`` labelled documents (least hash of id first); the rest of the tables isn't needed.
 
-    Labels that are null or without a document don't count.  Only their measures reach the driver.
+    Labels that are null or without a document don't count, and don't use up the sample.  Only their measures reach the
+    driver.
     """
     some = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    some = some.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids only
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
     known = measures(F.col("text"))
     # the sample is bounded by train_rows, so is what's broadcast
@@ -154,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> G
 def classify(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
     """``doc_id, score, keep`` for each row: probability of good quality, and whether it reaches ``threshold``.
 
-    Null and empty texts are scored as texts of length 0.  Repeated rows are scored each, extra columns ignored.
-    Only the measures reach Python, texts don't.
+    Null and empty texts are scored as texts of length 0, very long ones by their whole text; a score equal to the
+    threshold keeps.  Repeated rows are scored each, ids may be null, an empty table gives no rows, extra columns are
+    ignored.  Only the measures reach Python, texts don't.
     """
     known = measures(F.col("text"))
     narrow = docs.select("doc_id", *[known[f].alias(f) for f in FEATURES])

@@ -200,6 +200,67 @@ def test_scores_are_sums_of_lookups():
         assert abs(raw - want) < 1e-9
 
 
+def test_fit_against_a_plain_version():
+    """Boosting in plain loops: every cut is tried, sums are taken anew each time."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.2).astype(float)
+    rounds, pair_rounds, rate, n_bins = 3, 2, 0.15, 6
+    model = gam.fit(x, y, ("a", "b", "c"), n_bins, rounds, 1, pair_rounds, rate)
+    cuts = [sorted(set(np.quantile(x[:, j], [k / n_bins for k in range(1, n_bins)]))) for j in range(3)]
+    at = [[sum(v >= c for c in cuts[j]) for v in x[:, j]] for j in range(3)]
+    raw = [np.log((y.sum() + 0.5) / (len(y) + 0.5 - y.sum()))] * len(y)
+
+    def sums(rows):
+        p = [1 / (1 + np.exp(-raw[i])) for i in rows]
+        return sum(y[i] - q for i, q in zip(rows, p)), sum(q * (1 - q) for q in p)
+
+    gain = lambda g, h: g * g / (h + 1)
+    tables = [[0.0] * (len(c) + 1) for c in cuts]
+    for _ in range(rounds):
+        for j in range(3):
+            edges = [0, len(tables[j])]
+            bins = [sums([i for i in range(len(y)) if at[j][i] == k]) for k in range(len(tables[j]))]
+            total = lambda a, b: (sum(g for g, _ in bins[a:b]), sum(h for _, h in bins[a:b]))  # noqa: B023, E731
+            for _ in range(2):
+                tried = [(gain(*total(a, c)) + gain(*total(c, b)) - gain(*total(a, b)), c) for a, b in zip(edges, edges[1:]) for c in range(a + 1, b)]
+                if tried and max(tried)[0] > 1e-12:
+                    edges = sorted({*edges, max(tried)[1]})
+            for a, b in zip(edges, edges[1:]):
+                g, h = total(a, b)
+                for k in range(a, b):
+                    tables[j][k] += rate * g / (h + 1)
+                    raw = [r + rate * g / (h + 1) if at[j][i] == k else r for i, r in enumerate(raw)]
+    assert all(np.allclose(a, b) for a, b in zip(model.tables, tables))
+
+    def best(i, j):
+        out = (-1e9, 0, 0)
+        for c in range(1, len(tables[i])):
+            for d in range(1, len(tables[j])):
+                quads = [sums([r for r in range(len(y)) if (at[i][r] >= c) == p and (at[j][r] >= d) == q]) for p in (False, True) for q in (False, True)]
+                score = sum(gain(*q) for q in quads)
+                if score > out[0] + 1e-12:
+                    out = (score, c, d)
+        return out
+
+    pair = max(itertools.combinations(range(3), 2), key=lambda p: best(*p)[0])
+    assert model.pairs == (pair,)
+    i, j = pair
+    grid = np.zeros((len(tables[i]), len(tables[j])))
+    for _ in range(pair_rounds):
+        _, c, d = best(i, j)
+        steps = {}
+        for p in (False, True):
+            for q in (False, True):
+                g, h = sums([r for r in range(len(y)) if (at[i][r] >= c) == p and (at[j][r] >= d) == q])
+                steps[p, q] = rate * g / (h + 1)
+        raw = [r + steps[at[i][k] >= c, at[j][k] >= d] for k, r in enumerate(raw)]
+        for a in range(grid.shape[0]):
+            for b in range(grid.shape[1]):
+                grid[a, b] += steps[a >= c, b >= d]
+    assert np.allclose(model.grids[0], grid) and np.allclose(model.raw(x), raw)
+
+
 # --- 6 near-duplicates
 
 
