@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..scratch import gather, materialize, ship
+from ..scratch import ModelTooLarge, gather, materialize, ship
 from .crf import Crf, sentence_features
 from .segment import per_sentence
 
@@ -57,14 +57,19 @@ class Hmm:
     emission: dict  # word: (total count, [(tag, cost)])
     transition: dict  # (left, right): cost
 
-    @classmethod
-    def build(cls, emission: list[tuple], transition: list[tuple]) -> Hmm:
+    @staticmethod
+    def seen(emission: list[tuple]) -> dict[str, tuple[int, list]]:
+        """Total count, and tags in byte order with their costs, by word."""
         words: dict[str, tuple[int, list]] = {}
         for word, tag, cost, total in emission:
             words.setdefault(word, (int(total), []))[1].append((tag, float(cost)))
         for _, tags in words.values():
             tags.sort(key=lambda r: r[0].encode())
-        out = cls(words, {(a, b): float(c) for a, b, c in transition})
+        return words
+
+    @classmethod
+    def build(cls, emission: list[tuple], transition: list[tuple]) -> Hmm:
+        out = cls(cls.seen(emission), {(a, b): float(c) for a, b, c in transition})
         known = {a for a, _ in out.transition}
         for tag in ("PU", "NN", "CD", BOS):
             if tag not in known:
@@ -106,6 +111,22 @@ class Hmm:
         return out[::-1]
 
 
+@dataclass(frozen=True)
+class HmmTables:
+    """A Markov model of any number of words: ``emission`` is a table, joined to each sentence, ``rest`` has the transitions."""
+
+    emission: DataFrame
+    rest: Hmm
+
+
+def load_hmm(emission: DataFrame, transition: DataFrame) -> Hmm | HmmTables:
+    """Dictionaries where a count shows the words to be few enough to be broadcast, otherwise tables; results are the same."""
+    try:
+        return Hmm.load(emission, transition)
+    except ModelTooLarge:
+        return HmmTables(emission.select("word", "tag", "cost", "total_count"), Hmm.build([], gather(transition.select("left", "right", "cost"))))
+
+
 def surface(word: str, kind: int) -> tuple:
     """The four features of :func:`..functions.text.surface_features`."""
     if kind == T.WORD_CHINESE:
@@ -141,7 +162,7 @@ def split_words(column: pa.ListArray) -> Iterator[tuple[list[str], list[int]]]:
         yield words[a:b], kinds[a:b]
 
 
-def tag(segmented: DataFrame, method: str, hmm: Hmm | None = None, crf: Crf | None = None) -> DataFrame:
+def tag(segmented: DataFrame, method: str, hmm: Hmm | HmmTables | None = None, crf: Crf | None = None) -> DataFrame:
     """``segmented`` with an array ``tags`` next to ``words``.  ``method``: hmm, crf, mixed or none."""
     if method == "none":
         return segmented.withColumn("tags", F.transform("words", lambda w: F.lit("none")))
@@ -150,16 +171,35 @@ def tag(segmented: DataFrame, method: str, hmm: Hmm | None = None, crf: Crf | No
         raise ValueError(f"no models for the tagger {method!r}" if method in need else f"no tagger {method!r}")
     if crf is not None and method != "hmm" and "PU" not in crf.tags:
         raise ValueError("the tag model lacks the tag PU")
-    shared = ship(segmented.sparkSession, (hmm, crf))
-
-    def decode():
-        markov, tagger = shared()
+    def one(markov, tagger):
         if method == "hmm":
             return markov.decode
         return lambda words, kinds: crf_tags(words, kinds, tagger, markov if method == "mixed" else None)
 
+    if isinstance(hmm, HmmTables) and method != "crf":
+        return _joined(segmented, one, hmm, crf)
+    shared = ship(segmented.sparkSession, (hmm, crf))
     doubled = segmented.withColumn("__w", F.col("words"))
-    return per_sentence(doubled, decode, "tags", "array<string>", pa.list_(pa.string()), "__w", split_words)
+    return per_sentence(doubled, lambda: one(*shared()), "tags", "array<string>", pa.list_(pa.string()), "__w", split_words)
+
+
+def _joined(segmented: DataFrame, one, tables: HmmTables, crf: Crf | None) -> DataFrame:
+    """:func:`tag` with what the model knows of the words of each sentence brought to it by a join."""
+    shared = ship(segmented.sparkSession, (tables.rest, crf))
+    held = materialize(segmented.withColumn("__row", F.monotonically_increasing_id()), "words")
+    met = held.select("__row", F.explode(F.array_distinct("words.word")).alias("word")).join(tables.emission, "word")
+    seen = met.groupBy("__row").agg(F.collect_list(F.struct("word", "tag", "cost", "total_count")).alias("__seen"))
+    both = held.join(seen, "__row", "left").select(*segmented.columns, F.struct("words", "__seen").alias("__w"))
+
+    def split(column: pa.StructArray) -> Iterator[tuple]:
+        for (words, kinds), seen in zip(split_words(column.field(0)), column.field(1).to_pylist()):
+            yield words, kinds, [tuple(r.values()) for r in seen or []]
+
+    def decode():
+        rest, tagger = shared()
+        return lambda words, kinds, rows: one(Hmm(Hmm.seen(rows), rest.transition), tagger)(words, kinds)
+
+    return per_sentence(both, decode, "tags", "array<string>", pa.list_(pa.string()), "__w", split)
 
 
 def crf_weights(corpus: DataFrame, templates: tuple, keys: tuple, places: str, tags: str) -> DataFrame:

@@ -377,12 +377,12 @@ def tag_accuracy(spark, sf):
     return tag.accuracy(gold.withColumnRenamed("tag", "gold").join(best, "word"), ("gold",))
 
 
-def _tag_models(spark, sf, method: str) -> tuple[tag.Hmm | None, crf.Crf | None]:
+def _tag_models(spark, sf, method: str) -> tuple[tag.Hmm | tag.HmmTables | None, crf.Crf | None]:
     corpus = weak_corpus(table(spark, sf, "documents"))
     hmm = tagger = None
     if method in ("hmm", "mixed"):
         words = corpus.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("tags").alias("tag"))).alias("p")).select("p.word", "p.tag")
-        hmm = tag.Hmm.load(tag.emissions(words), tag.transitions_of(corpus))
+        hmm = tag.load_hmm(tag.emissions(words), tag.transitions_of(corpus))
     if method in ("crf", "mixed"):
         tagger = crf.Crf.load(tag.crf_weights(corpus, X.TAG_TEMPLATES, ("doc_id",), "places", "tags"), list(X.TAG_TEMPLATES))
     return hmm, tagger

@@ -285,3 +285,19 @@ def test_lexicons_of_tables_give_the_same(spark, method):
         got.append(sorted(map(str, done.select("doc_id", "sent_id", "words").collect())))
     assert got[0] == got[1] and len(got[0]) > 300
     assert isinstance(lexicon.load(words, user, pairs), lexicon.Lexicon)
+
+
+@pytest.mark.parametrize("method", ["hmm", "mixed"])
+def test_markov_models_of_tables_give_the_same(spark, method):
+    from lexspark.plans import catalogue
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    corpus = catalogue.weak_corpus(docs)
+    emission = tag.emissions(corpus.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("tags").alias("tag"))).alias("p")).select("p.word", "p.tag"))
+    moves = tag.transitions_of(corpus)
+    crf = catalogue.crf.Crf.load(tag.crf_weights(corpus, X.TAG_TEMPLATES, ("doc_id",), "places", "tags"), list(X.TAG_TEMPLATES))
+    words = catalogue._token_words(spark, "/root/testdata/sf0.001", "conversations", catalogue.CHAT)
+    words = words.unionByName(words.limit(5))
+    whole = tag.Hmm.load(emission, moves)
+    got = [sorted(map(str, tag.tag(words, method, model, crf).collect())) for model in (whole, tag.HmmTables(emission, tag.Hmm({}, whole.transition)))]
+    assert got[0] == got[1] and len(got[0]) > 100
