@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,7 +29,7 @@ BINS, SHINGLE, BANDS, ROWS = 256, 3, 40, 4
 #: Least estimated Jaccard index of a verified edge.
 THRESHOLD = 0.5
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Members of a block of a bucket whose members are unlike its centre.
 GRID = 2_048
 #: First bytes of characters that are neither punctuation nor white space nor of a script written without blanks:
@@ -180,7 +179,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(-1)
 
 
-def _stack(sigs: pa.Array | pd.Series) -> np.ndarray:
+def _stack(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), BINS)
 
 
@@ -240,6 +239,13 @@ def _compare(threshold: float):
     return run
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b, jaccard`` of rows ``a, b`` and their signatures."""
+    for batch in batches:
+        like = similarity(*(_stack(batch.column(k).to_pylist()) for k in (2, 3))) if batch.num_rows else np.empty(0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like)], names=["a", "b", "jaccard"])
+
+
 def _links(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
@@ -277,14 +283,13 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lone = sigs.select("id", "bands").join(small_side(copies.select(F.col("b").alias("id"))), "id", "left_anti").select("id", F.explode("bands").alias("bucket"))
     # a bucket's hash covers the number of its band
     centres = materialize(lone.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a"), "centres")
-    stars = materialize(lone.join(small_side(centres), "bucket").filter("a < id"), "stars")
+    stars = materialize(lone.join(centres, "bucket").filter("a < id"), "stars")
 
-    same = F.pandas_udf(lambda x, y: pd.Series(similarity(_stack(x), _stack(y)) if len(x) else np.empty(0)), "double")
     one = sigs.select("id", "sig")
     pairs = stars.select("a", F.col("id").alias("b")).distinct()
     judged = pairs.join(one.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(one.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     # an id of several texts has a row for each
-    judged = materialize(judged.select("a", "b", same("sa", "sb").alias("jaccard")).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "judged")
+    judged = materialize(judged.select("a", "b", "sa", "sb").mapInArrow(_judge, "a bigint, b bigint, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "judged")
     told = stars.join(judged.select("a", F.col("b").alias("id"), (F.col("jaccard") < threshold).alias("unlike")), ["a", "id"])
     more = leftovers(told.select("bucket", "id", "unlike"), one, threshold)
     found = copies.withColumn("jaccard", F.lit(1.0)).unionByName(judged.filter(F.col("jaccard") >= threshold)).unionByName(more)
@@ -315,10 +320,9 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.select("a", "b").filter("a < b").distinct(), "edges")
     seen = mark(now)
     while True:
-        large = materialize(star(now, True), "edges")
-        small = materialize(star(large, False), "edges")
-        discard(now, large)
-        now, last, seen = small, seen, mark(small)
+        following = materialize(star(star(now, True), False), "edges")
+        discard(now)
+        now, last, seen = following, seen, mark(following)
         if last == seen:
             break
     ends = now.select(F.col("b").alias("id"), F.col("a").alias("group_id"))
