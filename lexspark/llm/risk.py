@@ -16,8 +16,9 @@ failure, which needs no further correction.  So with probability at least ``1 -
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,17 +94,17 @@ def certify(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: fl
     counts = per.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum((F.col("first_level") <= i + 1).cast("bigint")).alias(f"k{i + 1}") for i in range(len(LEVELS))])
     counts = counts.withColumn("m", F.count("*").over(W.partitionBy()))
 
-    @F.pandas_udf("int")
-    def level(n: pd.Series, m: pd.Series, ks: pd.DataFrame) -> pd.Series:
-        out = []
-        for size, strata, row in zip(n, m, ks.itertuples(index=False)):
-            at = 0
-            while at < len(row) and binomial_tail(int(size), int(row[at]), alpha) <= delta / strata:
-                at += 1
-            out.append(at)
-        return pd.Series(out, dtype="int32")
-
-    return counts.select("stratum", level("n_good", "m", F.struct(*[f"k{i + 1}" for i in range(len(LEVELS))])).alias("level"), "n_good")
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for size, strata, *row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                at = 0
+                while at < len(row) and binomial_tail(size, row[at], alpha) <= delta / strata:
+                    at += 1
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32()), batch.column(1)], names=["stratum", "level", "n_good"])
+
+    return counts.select("stratum", "n_good", "m", *[f"k{i + 1}" for i in range(len(LEVELS))]).mapInArrow(levels, "stratum string, level int, n_good bigint")
 
 
 def _level_of(docs: DataFrame, cuts: DataFrame, stratum: Column) -> tuple[DataFrame, Column]:
