@@ -64,10 +64,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shards: int = SHARDS, length
     pieces = narrow.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
     pieces = pieces.withColumn("start_token", F.col("piece") * cap).withColumn("n_tokens", F.least(cap, F.col("n") - F.col("piece") * cap))
     pieces = pieces.withColumn("class", F.when(F.col("n_tokens") > 0, F.floor(cap / F.greatest(F.col("n_tokens"), F.lit(1)))).otherwise(F.lit(0)).cast("bigint"))
-    at = F.row_number().over(W.partitionBy("class", "shard").orderBy(*reversed(first), "piece", "n_tokens")).cast("bigint") - 1
     full = F.col("class") > 0
-    # pieces without tokens go in no bin and aren't numbered
-    numbered = pieces.filter(full).withColumn("at", at).unionByName(pieces.filter(~full).withColumn("at", F.lit(None).cast("bigint")))
+    # pieces without tokens go in no bin: they aren't brought together, however many they are
+    apart = F.when(~full, F.xxhash64(*first))
+    at = F.row_number().over(W.partitionBy("class", "shard", apart).orderBy(*reversed(first), "piece", "n_tokens")).cast("bigint") - 1
+    numbered = pieces.withColumn("at", at)
     per = F.greatest(F.col("class"), F.lit(1))
     return numbered.select(
         *first, "piece", "start_token", "n_tokens", "class", "shard",
