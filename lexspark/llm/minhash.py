@@ -331,7 +331,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, group_id, n_links``: each document of a group of at least two near-duplicates, and how many verified
-    links it has; ``group_id`` is the least id.
+    links it has (a DOUBLE: the integers of the result are ids); ``group_id`` is the least id.
 
     Documents without near-duplicates have no row.  Null ids and null texts belong to no group.  Texts without a
     word are near-duplicates only if they are equal, empty ones included.  Rows of the same id are one document;
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = links(signatures(docs), threshold)
     ends = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    return components(found).join(ends, "id").select(F.col("id").alias("doc_id"), "group_id", "n_links")
+    return components(found).join(ends, "id").select(F.col("id").alias("doc_id"), "group_id", F.col("n_links").cast("double").alias("n_links"))
 
 
 #: Documents whose id is null, or stands for several rows, are told apart by numbers from this one on.
