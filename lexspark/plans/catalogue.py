@@ -220,12 +220,17 @@ _MIXED_SQL = f"""mx AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 -
   FROM range(0, {X.CHINESE_TEXTS}) r(i))"""
 
 
-def mixed_script(spark, sf) -> DataFrame:
-    """``doc_id, text`` of the documents and of CHINESE_TEXTS generated texts, mostly Chinese."""
-    i, n = F.col("id"), len(X.CHINESE_PIECES)
+def chinese_texts(spark, n: int = X.CHINESE_TEXTS) -> DataFrame:
+    """``doc_id, text`` of ``n`` generated texts, mostly Chinese; ids are negative."""
+    i, kinds = F.col("id"), len(X.CHINESE_PIECES)
     pieces = F.array(*map(F.lit, X.CHINESE_PIECES))
-    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), i % 29 + 2), lambda j: F.get(pieces, ((i * 31 + j * 17 + (i * j) % 7 + (j * j) % 5) % n).cast("int")))
-    return table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.range(X.CHINESE_TEXTS).select((F.lit(-1) - i).alias("doc_id"), F.array_join(parts, "").alias("text")))
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), i % 29 + 2), lambda j: F.get(pieces, ((i * 31 + j * 17 + (i * j) % 7 + (j * j) % 5) % kinds).cast("int")))
+    return spark.range(n).select((F.lit(-1) - i).alias("doc_id"), F.array_join(parts, "").alias("text"))
+
+
+def mixed_script(spark, sf) -> DataFrame:
+    """``doc_id, text`` of the documents and of the generated texts."""
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(chinese_texts(spark))
 
 
 def segment_query(method: str, spark, sf):
