@@ -309,19 +309,22 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None, sile
     schemas = SCHEMAS if schemas is None else schemas
     for schema in schemas.values():
         check_schema(schema)
-    nth = lambda *by: F.row_number().over(W.partitionBy("conv_id", "call_id").orderBy("seq", *by))
-    asked, told = calls.select("conv_id", "call_id", "seq", "name", "arguments", "after"), results.select("conv_id", "call_id", F.col("seq").alias("result_seq"), "content")
-    left = asked.filter("conv_id IS NOT NULL").withColumn("nth", nth("name", "arguments")).withColumn("is_call", F.lit(True))
-    right = told.filter("conv_id IS NOT NULL").withColumnRenamed("result_seq", "seq").withColumn("r_nth", nth("content")).select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("seq").alias("result_seq"), "content", "r_nth")
+    def numbered(rows: DataFrame, *by: str) -> DataFrame:
+        """With ``nth`` among the rows of a conversation and call id; rows of no conversation only meet their equals."""
+        apart = F.when(F.col("conv_id").isNull(), F.xxhash64("call_id", "seq", *by))
+        told = rows.withColumn("apart", apart)
+        return told.withColumn("nth", F.row_number().over(W.partitionBy("conv_id", "call_id", "apart").orderBy("seq", *by)))
+
+    left = numbered(calls.select("conv_id", "call_id", "seq", "name", "arguments", "after"), "name", "arguments").withColumn("is_call", F.lit(True))
+    right = numbered(results.select("conv_id", "call_id", "seq", "content"), "content").select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("seq").alias("result_seq"), "content", F.col("apart").alias("r_apart"), F.col("nth").alias("r_nth"))
     equal = (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")) & (F.col("nth") == F.col("r_nth"))
     joined = left.hint("shuffle_hash").join(right.hint("shuffle_hash"), equal, "full_outer")
     found = F.coalesce(F.col("is_call"), F.lit(False))
-    row = lambda is_call, call_id: F.struct(is_call.alias("is_call"), call_id.alias("call_id"), "seq", "name", "arguments", "after", "result_seq", "content").alias("row")
-    rows = joined.select(F.when(found, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), row(found, F.coalesce("call_id", "r_id")))
-    grouped = rows.groupBy("conv_id").agg(F.collect_list("row").alias("rows"))
-    # rows of no conversation aren't gathered
-    alone = asked.filter("conv_id IS NULL").withColumn("is_call", F.lit(True)).unionByName(told.filter("conv_id IS NULL").withColumn("is_call", F.lit(False)), allowMissingColumns=True)
-    grouped = grouped.unionByName(alone.select("conv_id", F.array(row(F.col("is_call"), F.col("call_id"))).alias("rows")))
+    row = F.struct(found.alias("is_call"), F.coalesce("call_id", "r_id").alias("call_id"), "seq", "name", "arguments", "after", "result_seq", "content").alias("row")
+    # rows of no conversation are told apart by what they are and their number among equals
+    alone = F.when(F.col("conv_id").isNull() & F.col("r_conv").isNull(), F.xxhash64(found, F.coalesce("apart", "r_apart"), F.coalesce("nth", "r_nth")))
+    rows = joined.select(F.when(found, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), alone.alias("alone"), row)
+    grouped = rows.groupBy("conv_id", "alone").agg(F.collect_list("row").alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,10 +347,10 @@ def from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     told and each conversation has a row.  Null turns count as -1, turns without a conversation stand alone.
     """
     said = messages.select("conv_id", F.coalesce(F.col("turn").cast("bigint"), F.lit(-1)).alias("seq"), F.lower("role").alias("role"), F.col("text").cast("string").alias("text"))
-    before = W.partitionBy("conv_id").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
-    asked_before = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(before)
     # turns of no conversation have none before them, and aren't brought together
-    said = said.filter("conv_id IS NOT NULL").withColumn("asked", asked_before).unionByName(said.filter("conv_id IS NULL").withColumn("asked", F.lit(None).cast("bigint")))
+    before = W.partitionBy("conv_id", F.when(F.col("conv_id").isNull(), F.xxhash64("seq", "role", "text"))).orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
+    asked_before = F.max(F.when(F.col("role") == "user", F.col("seq"))).over(before)
+    said = said.withColumn("asked", F.when(F.col("conv_id").isNotNull(), asked_before))
     name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("turn-"), F.col(c).cast("string")))
     spoken = said.filter(F.col("role").isin("user", "system")).select(
         "conv_id", name("seq").alias("call_id"), "seq", F.when(F.col("role") == "user", "reply").otherwise("set_context").alias("name"),
