@@ -10,8 +10,8 @@ import weakref
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Most rows of a model table that is gathered and sent to executors: some 100 MB in each Python worker.
-MODEL_ROWS = 500_000
+#: Most rows of a model table that is gathered and sent to executors: at most some 500 MB in each Python worker.
+MODEL_ROWS = 3_000_000
 
 
 class ModelTooLarge(ValueError):
